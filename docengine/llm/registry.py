@@ -5,12 +5,14 @@ from __future__ import annotations
 from docengine.llm import (
     exact_dedup,
     simhash_dedup,
+    token_output,
     url_filter,
 )
 
 _MODULES = (
     exact_dedup,
     simhash_dedup,
+    token_output,
     url_filter,
 )
 
