@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from docengine.llm import (
+    decontaminate,
     exact_dedup,
+    sentencepiece_codec,
     simhash_dedup,
     token_output,
     url_filter,
 )
 
 _MODULES = (
+    decontaminate,
     exact_dedup,
+    sentencepiece_codec,
     simhash_dedup,
     token_output,
     url_filter,
