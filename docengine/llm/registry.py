@@ -5,18 +5,22 @@ from __future__ import annotations
 from docengine.llm import (
     decontaminate,
     exact_dedup,
+    quality,
     sentencepiece_codec,
     simhash_dedup,
     token_output,
+    toxicity,
     url_filter,
 )
 
 _MODULES = (
     decontaminate,
     exact_dedup,
+    quality,
     sentencepiece_codec,
     simhash_dedup,
     token_output,
+    toxicity,
     url_filter,
 )
 
