@@ -5,6 +5,7 @@ from __future__ import annotations
 from docengine.llm import (
     decontaminate,
     exact_dedup,
+    lm_scoring,
     quality,
     sentencepiece_codec,
     simhash_dedup,
@@ -16,6 +17,7 @@ from docengine.llm import (
 _MODULES = (
     decontaminate,
     exact_dedup,
+    lm_scoring,
     quality,
     sentencepiece_codec,
     simhash_dedup,
