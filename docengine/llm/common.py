@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.session import ship_code, shared_dir, written
+from docengine.session import discard, ship_code, shared_dir, written
 
-__all__ = ["crc32_of_id", "load", "null_safe", "ship_code", "shared_dir", "text_bytes", "written"]
+__all__ = ["crc32_of_id", "discard", "load", "null_safe", "ship_code", "shared_dir", "text_bytes", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -9,6 +9,7 @@ from docengine.llm import (
     quality,
     sentencepiece_codec,
     simhash_dedup,
+    substring_dedup,
     token_output,
     toxicity,
     url_filter,
@@ -21,6 +22,7 @@ _MODULES = (
     quality,
     sentencepiece_codec,
     simhash_dedup,
+    substring_dedup,
     token_output,
     toxicity,
     url_filter,
