@@ -41,6 +41,15 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made and that is not needed any more."""
+    jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+    for file in table.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().startswith("docengine-"):
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per session."""
     context = spark.sparkContext
