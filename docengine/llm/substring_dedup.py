@@ -16,8 +16,8 @@ dropped from the next round. The rounds are
 
 Ranks are names rather than dense numbers: a rank by sorting costs a shuffle of
 one row per byte and round, over sixteen times the input a round, where names
-cost none and let unique places go at once. Rounds 1 and 2 together compare 128
-bits and round 3 compares 96 bits.
+cost none and let unique places go at once. Rounds 1 and 2 together compare 96 bits, and
+so does round 3. A place is one integer: the document's number, then the byte.
 
 Skew: counts and earliest places are pre-aggregated. What is joined back is joined
 from written tables, so a hot gram is a skewed join that Spark splits. Only a
@@ -33,14 +33,14 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm.common import discard, load, ship_code, text_bytes, written
 
 NAME = "op10_substring_dedup"
 LENGTH = 100
-GRAM = 32
+GRAM = 40
 PIECE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -85,12 +85,12 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return name[at[first]].view(np.int64), first, last
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int16())
 
     def out(held: list) -> pa.RecordBatch:
         columns = [pa.array(np.concatenate(x), type=t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["doc", "g", "r", "lo", "hi"])
+        return pa.RecordBatch.from_arrays(columns, ["g", "r", "place", "n"])
 
     for batch in batches:
         held, n = [], 0
@@ -101,7 +101,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
                 lo, hi = lo + at, hi + at
                 digest = xxhash.xxh3_64_intdigest
                 r = [digest(text[i : j + length]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
-                held.append((np.full(len(g), doc), g, np.array(r, dtype=np.uint64).view(np.int64), lo, hi))
+                held.append((g, np.array(r, dtype=np.uint64).astype(np.uint32).view(np.int32), (doc << bits) + lo, hi - lo))
                 n += len(g)
                 if n > 200_000:
                     yield out(held)
@@ -110,7 +110,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
             yield out(held)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, text, spans in zip(batch.column("doc").to_pylist(), text_bytes(batch, "text"), batch.column("spans").to_pylist(), strict=True):
             data = np.frombuffer(text, np.uint8)
@@ -126,8 +126,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                 stretch = data[low : high + length]
                 one = names(stretch, length)[starts - low].view(np.int64)
                 two = (names(stretch, length, 77)[starts - low] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                columns = [pa.array(x) for x in (one, two, np.full(len(starts), doc), starts.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["w", "v", "doc", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, (doc << bits) + starts)], ["w", "v", "place"])
 
 
 def removed(n: int, later: list, reps: list, firsts: list, length: int) -> np.ndarray:
@@ -184,33 +183,51 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     spark = docs.sparkSession
     ship_code(spark)
     docs = docs.select("doc_id", "text")
-    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
-    if odd:
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
+    low, high, longest = docs.agg(
+        F.coalesce(F.min("doc_id"), F.lit(0)).cast("long"), F.coalesce(F.max("doc_id"), F.lit(0)).cast("long"), F.coalesce(F.max(F.octet_length("text")), F.lit(0))
+    ).first()
+    bits = max(int(longest).bit_length(), 1)
+    if repeated or low < 0 or int(high).bit_length() + bits > 62:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-        docs = written(ordered.withColumn("doc", F.monotonically_increasing_id()), "substring-docs")
+        docs = written(ordered.withColumn("uid", F.monotonically_increasing_id()), "substring-docs")
+        inside = F.col("uid").bitwiseAND(F.lit((1 << 33) - 1))
+        most = docs.agg(F.coalesce(F.max(inside), F.lit(0))).first()[0]
+        part = F.shiftleft(F.shiftright("uid", 33), max(int(most).bit_length(), 1))
+        docs = docs.withColumn("doc", part.bitwiseOR(inside)).drop("uid")
     else:
         docs = docs.withColumn("doc", F.col("doc_id").cast("long"))
     plain = docs.select("doc", "text")
-    run = partial(_anchor_rows, length=length, gram=gram)
-    rows = written(plain.mapInArrow(run, "doc long, g long, r long, lo int, hi int"), "substring-anchors")
+    doc = lambda place: F.shiftright(place, bits)
+    byte = lambda place: F.col(place).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+    def span(kind: int, place: str, n: Column) -> tuple[Column, ...]:
+        return doc(place).alias("doc"), F.lit(kind).alias("kind"), byte(place).alias("a"), (byte(place) + n).alias("b")
+
+    run = partial(_anchor_rows, length=length, gram=gram, bits=bits)
+    rows = written(plain.mapInArrow(run, "g long, r int, place long, n short"), "substring-anchors")
     twice = written(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "substring-grams")
     same = written(rows.join(twice, "g", "left_semi"), "substring-same")
     discard(rows)
+    del rows
     _freed(spark)
-    place = F.struct("doc", "lo", "hi")
-    firsts = written(same.groupBy("g", "r").agg(F.min(place).alias("first")), "substring-firsts")
+    firsts = same.groupBy("g", "r").agg(F.min("place").alias("first"), F.max("n").alias("width"))
+    firsts = written(firsts, "substring-firsts")
     several = written(firsts.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "substring-several")
-    reps = written(firsts.join(several, "g", "left_semi").select("first.*"), "substring-reps")
-    later = same.join(firsts, ["g", "r"]).filter(F.struct("doc", "lo") > F.struct("first.doc", "first.lo"))
-    later = written(later.select("doc", F.lit(0).alias("kind"), F.col("lo").alias("a"), F.col("hi").alias("b")), "substring-later")
-    own = reps.groupBy("doc").agg(F.collect_list(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("spans"))
-    windows = plain.join(own, "doc").mapInArrow(partial(_window_rows, length=length), "w long, v int, doc long, p int")
-    earliest = windows.groupBy("w", "v").agg(F.min(F.struct("doc", "p")).alias("first")).select("first.*")
-    earliest = written(earliest, "substring-earliest")
+    reps = written(firsts.join(several, "g", "left_semi").select(*span(1, "first", F.col("width"))), "substring-reps")
+    later = same.join(firsts.drop("width"), ["g", "r"]).filter("place > first").select(*span(0, "place", F.col("n")))
+    later = written(later, "substring-later")
+    discard(same)
+    discard(firsts)
+    del same, firsts
+    _freed(spark)
+    own = reps.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    windows = plain.join(own, "doc").mapInArrow(partial(_window_rows, length=length, bits=bits), "w long, v int, place long")
+    earliest = written(windows.groupBy("w", "v").agg(F.min("place").alias("place")).select("place"), "substring-earliest")
+    del windows, own
     _freed(spark)
-    spans = later.unionByName(reps.select("doc", F.lit(1).alias("kind"), F.col("lo").alias("a"), F.col("hi").alias("b")))
-    spans = spans.unionByName(earliest.select("doc", F.lit(2).alias("kind"), F.col("p").alias("a"), F.col("p").alias("b")))
+    spans = later.unionByName(reps).unionByName(earliest.select(*span(2, "place", F.lit(0))))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "b")).alias("spans"))
     kept = ", kept binary" if with_text else ""
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}"
