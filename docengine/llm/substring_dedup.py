@@ -26,7 +26,9 @@ document's own spans are gathered in one row.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 from collections.abc import Iterator
 from functools import partial
 
@@ -164,11 +166,11 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Ite
 
 
 def _freed(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps now rather than at some later collection."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished steps now rather than at some later collection."""
+    for _ in range(2):  # what Python lets go of in the first round, the JVM finds in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
