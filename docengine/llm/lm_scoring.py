@@ -56,7 +56,8 @@ SLICE = 50
 CALIBRATION_DOCS = 300
 CALIBRATION_CHARS = 2_000_000
 RATE = 0.02
-DOCS_AT_ONCE = 1500
+DOCS_AT_ONCE = 300
+SYMBOLS_AT_ONCE = 100_000
 _INPUTS = ORDERS + 3
 _GATES = 16
 _LN10 = math.log(10)
@@ -164,7 +165,7 @@ def count_tables(code: Code, docs: Iterator[list[bytes]]) -> np.ndarray:
     for words in docs:
         held.append(code.symbols(words))
         n += len(held[-1])
-        if n > 400_000:
+        if n > SYMBOLS_AT_ONCE:
             flush()
             held, n = [], 0
     if held:
@@ -177,10 +178,12 @@ class Mixer:
 
     def __init__(self, code: Code, counts: np.ndarray):
         self.code = code
-        n, ones = counts[..., 0].astype(float), counts[..., 1].astype(float)
-        logit = np.log((ones + 0.2) / (n - ones + 0.2))
-        seen = (n > 0).astype(int) + (n > 2) + (n > 15)
-        self.tables = ((np.clip(np.round(logit * 256), -8000, 8000).astype(np.int16) * 4) | seen).astype(np.int16)
+        self.tables = np.empty(counts.shape[:2], np.int16)
+        for k, table in enumerate(counts):
+            n, ones = table[:, 0].astype(np.float32), table[:, 1].astype(np.float32)
+            logit = np.log((ones + np.float32(0.2)) / (n - ones + np.float32(0.2)))
+            seen = (n > 0).astype(np.int16) + (n > 2) + (n > 15)
+            self.tables[k] = (np.clip(np.round(logit * 256), -8000, 8000).astype(np.int16) * 4) | seen
         start = [0.6, 0.25, 0.2, 0.15, 0.3, 0.0]
         self.weights = np.tile(np.array(start, dtype=np.float64), (_GATES, 1))
 
@@ -324,7 +327,9 @@ def train(docs: DataFrame) -> Model:
     words = written(words, "lm-words")
     n_words, distinct, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     n_docs = texts.count()
-    top = [(bytes(r[0]), r[1]) for r in words.filter("c > 1").orderBy(F.desc("c"), "word").limit(VOCAB).collect()]
+    most = words.filter("c > 1").orderBy(F.desc("c"), "word").limit(VOCAB).toArrow()
+    top = list(zip(most.column("word").to_pylist(), most.column("c").to_pylist(), strict=True))
+    del most
     rare = n_words - sum(c for _, c in top)
     code = Code(top, n_docs, rare + once)
     least = top[-1][1] if len(top) == VOCAB else 0
@@ -350,7 +355,7 @@ def train(docs: DataFrame) -> Model:
         parts = written(parts, "lm-tables")
         if n <= 1:
             break
-    counts = np.zeros((ORDERS << TABLE_BITS, 2), np.int64)
+    counts = np.zeros((ORDERS << TABLE_BITS, 2), np.uint32)
     for r in parts.toLocalIterator():  # tables of a fixed size
         data = np.frombuffer(bytes(r.data), "<u4").reshape(2, CHUNK)
         counts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = data.T
