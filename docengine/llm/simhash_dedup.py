@@ -30,7 +30,7 @@ NAME = "op7_simhash_dedup"
 SHINGLE = 3
 BUDGET = 2
 STEP = 4
-UNIT_ROWS = 16384
+UNIT_ROWS = 1 << 17
 _CHUNK = 1 << 20
 
 
