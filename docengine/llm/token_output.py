@@ -40,7 +40,8 @@ END_ID = 2
 MAGIC = b"S8B1"
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
+_MARKS = frozenset(".,;:!?")
 #: Fixed values of Simple-8b: ids per word and bits per id by selector.
 COUNTS = [240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 WIDTHS = [0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
@@ -165,13 +166,19 @@ class _Words(dict):
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             new = list(chunks)
-        plain = [c for c in new if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
-        known = set(plain)
+        # a mark behind a letter is a token of its own: the word is encoded once for all its marks
+        marked = [c for c in new if c[-1:] in _MARKS and len(c) > 2 and c[0] == " " and c[-2].isalpha()]
+        words = {c[:-1] for c in marked}
+        words.difference_update(self.keys())
+        words.update(new)
+        words.difference_update(marked)
+        plain = [c for c in words if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
         for at in range(0, len(plain), 2000):
             self._fill_joined(plain[at : at + 2000])
-        for c in new:
-            if c not in known:
-                self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for c in words.difference(plain).union(_MARKS.difference(self.keys())):
+            self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for c in marked:
+            self[c] = self[c[:-1]] + self[c[-1]]
 
     def _fill_joined(self, some: list[str]) -> None:
         """Many pieces in one call; the places of the ids tell whose they are."""
@@ -202,11 +209,15 @@ def chunks_of(text: str) -> list[str]:
 
 
 def _simple(text: str) -> list[str] | None:
-    """The same pieces where no blank touches other white space, which is the usual case."""
-    parts = text.split(" ")
-    if "" in parts or " \n" in text or "\n " in text or not text.isprintable() and _odd(text):
+    """Such pieces where no white space but single blanks and line ends stands alone, which is the usual case.
+
+    A line end between two others is a token of its own, so a text may be cut
+    before it as well; words at a line's start and end then are the usual ones.
+    """
+    parts = text.replace("\n", " \n").split(" ")
+    if "" in parts or "\n" in parts or not text.isprintable() and _odd(text):
         return None
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    return [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]]
 
 
 def _odd(text: str) -> bool:
