@@ -6,6 +6,8 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -145,25 +147,16 @@ def retrieve_documents(index: VectorIndex, query: list[float], top_k: int = 5, m
 
 def vector_bytes(v: Column) -> Column:
     """Little-endian 32-bit floats of a list of numbers."""
-
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        import numpy as np
-
         return s.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
 
     return run(v)
 
 
 def bytes_vector(b: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        import numpy as np
-
         return s.map(lambda x: None if x is None else np.frombuffer(x, dtype="<f4").astype(float))
 
     return run(b)

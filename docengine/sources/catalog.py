@@ -65,21 +65,22 @@ class Store:
 class Collection:
     def __init__(self, db: Database, name: str, schema: Schema):
         self.db, self.name, self.schema, self.hooks = db, name, schema, mutate.Hooks()
-        stored = int(db.store.read(f"{name}/_version")) if db.store.exists(f"{name}/_version") else None
+        stored = int(db.store.read(f"{name}/version.meta")) if db.store.exists(f"{name}/version.meta") else None
         if stored is not None and stored > schema.version:
             raise SchemaFailed(f"{name} is stored in version {stored}")
         if stored is not None and stored < schema.version:
             self._save(validate.migrate(self.all(), schema.migrations, stored, schema.version))
-        db.store.write(f"{name}/_version", str(schema.version))
+        db.store.write(f"{name}/version.meta", str(schema.version))
 
     def _save(self, df: DataFrame) -> None:
         self.db.check()
         part = f"{self.name}/snapshot-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.db.store.root}/{part}")
-        self.db.store.write(f"{self.name}/_current", part)
+        self.db.store.write(f"{self.name}/current.meta", part)
 
     def _stored(self) -> bool:
-        return self.db.store.exists(f"{self.name}/_current")
+        self.db.check()
+        return self.db.store.exists(f"{self.name}/current.meta")
 
     def all(self) -> DataFrame:
         """All documents in the order of their keys."""
@@ -89,7 +90,7 @@ class Collection:
         self.db.check()
         if not self._stored():
             raise NotFound(f"{self.name} has no documents yet")
-        return self.db.spark.read.parquet(f"{self.db.store.root}/{self.db.store.read(f'{self.name}/_current')}")
+        return self.db.spark.read.parquet(f"{self.db.store.root}/{self.db.store.read(f'{self.name}/current.meta')}")
 
     def find(self, selector: dict | None = None) -> Query:
         return Query(self.df(), selector or {}, self.schema.pk[0])
@@ -180,13 +181,13 @@ class Collection:
         self.attach(attachments_of(self.db.spark, doc_id, path))
 
     def attach(self, rows: DataFrame) -> None:
-        old = self.attachments() if self.db.store.exists(f"{self.name}/_attachments") else rows.limit(0)
+        old = self.attachments() if self.db.store.exists(f"{self.name}/attachments.meta") else rows.limit(0)
         part = f"{self.name}/attachments-{uuid.uuid4().hex}"
         mutate.upsert(old, rows, ["doc_id", "att_id"]).write.parquet(f"{self.db.store.root}/{part}")
-        self.db.store.write(f"{self.name}/_attachments", part)
+        self.db.store.write(f"{self.name}/attachments.meta", part)
 
     def attachments(self, doc_id: str | None = None, att_id: str | None = None) -> DataFrame:
-        df = self.db.spark.read.parquet(f"{self.db.store.root}/{self.db.store.read(f'{self.name}/_attachments')}")
+        df = self.db.spark.read.parquet(f"{self.db.store.root}/{self.db.store.read(f'{self.name}/attachments.meta')}")
         df = df.filter(F.col("doc_id") == doc_id) if doc_id is not None else df
         return df.filter(F.col("att_id") == att_id) if att_id is not None else df
 
@@ -194,12 +195,12 @@ class Collection:
         part = f"{self.name}/attachments-{uuid.uuid4().hex}"
         rows = self.attachments().filter(~((F.col("doc_id") == doc_id) & (F.col("att_id") == att_id)))
         rows.write.parquet(f"{self.db.store.root}/{part}")
-        self.db.store.write(f"{self.name}/_attachments", part)
+        self.db.store.write(f"{self.name}/attachments.meta", part)
 
     def dump(self, path: str) -> None:
         """Documents, and attachments as base64, as JSON."""
         self.df().write.mode("overwrite").json(f"{path}/docs")
-        if self.db.store.exists(f"{self.name}/_attachments"):
+        if self.db.store.exists(f"{self.name}/attachments.meta"):
             self.attachments().withColumn("content", F.base64("content")).write.mode("overwrite").json(f"{path}/attachments")
 
     def import_dump(self, path: str) -> None:
