@@ -172,7 +172,7 @@ class _Words(dict):
         words.difference_update(self.keys())
         words.update(new)
         words.difference_update(marked)
-        plain = [c for c in words if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
+        plain = [c for c in words if len(c) > 1 and c[0] in " \n" and not c[1].isspace() and not c[-1].isspace()]
         for at in range(0, len(plain), 2000):
             self._fill_joined(plain[at : at + 2000])
         for c in words.difference(plain).union(_MARKS.difference(self.keys())):
