@@ -112,35 +112,69 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits
             yield out(held)
 
 
+def _spans(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+    """The fields of each row's spans as arrays, in the order of their starts."""
+    column = batch.column("spans")
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    inner = column.flatten()
+    fields = {inner.type.field(i).name: x.to_numpy(zero_copy_only=False) for i, x in enumerate(inner.flatten())}
+    start = 0
+    for end in ends.tolist():
+        own = {k: x[start:end] for k, x in fields.items()}
+        order = np.argsort(own["a"], kind="stable")
+        yield {k: x[order] for k, x in own.items()}
+        start = end
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(w, v, place) of each window of the spans; the stretches of many spans are named in one go."""
+    stretches, starts, places, size = [], [], [], 0
+
+    def out() -> pa.RecordBatch:
+        nonlocal stretches, starts, places, size
+        data, at, place = map(np.concatenate, (stretches, starts, places))
+        one = names(data, length)[at].view(np.int64)
+        two = (names(data, length, 77)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        stretches, starts, places, size = [], [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, place)], ["w", "v", "place"])
+
     for batch in batches:
-        for doc, text, spans in zip(batch.column("doc").to_pylist(), text_bytes(batch, "text"), batch.column("spans").to_pylist(), strict=True):
+        for doc, text, own in zip(batch.column("doc").to_pylist(), text_bytes(batch, "text"), _spans(batch), strict=True):
             data = np.frombuffer(text, np.uint8)
-            spans = sorted((s["a"], s["b"]) for s in spans)
-            k = 0
-            while k < len(spans):  # near spans share one stretch of the text
-                (low, high), own = spans[k], []
-                while k < len(spans) and spans[k][0] <= high + length and (not own or spans[k][1] - low < PIECE):
-                    own.append(spans[k])
-                    high = max(high, spans[k][1])
-                    k += 1
-                starts = np.concatenate([np.arange(a, b + 1) for a, b in own])
-                stretch = data[low : high + length]
-                one = names(stretch, length)[starts - low].view(np.int64)
-                two = (names(stretch, length, 77)[starts - low] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, (doc << bits) + starts)], ["w", "v", "place"])
-
-
-def removed(n: int, later: list, reps: list, firsts: list, length: int) -> np.ndarray:
-    """Which of ``n`` bytes go: ``later`` and ``reps`` are ranges of windows, ``firsts`` are windows of reps that stay."""
+            a, b = own["a"].astype(np.int64), own["b"].astype(np.int64)
+            if not len(a):
+                continue
+            # near spans share one stretch of the text, of about a piece at most
+            apart = (a[1:] > np.maximum.accumulate(b)[:-1] + length) | (a[1:] // PIECE != a[:-1] // PIECE)
+            cuts = [0, *(np.flatnonzero(apart) + 1).tolist(), len(a)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                low, n = int(a[i]), b[i:j] - a[i:j] + 1
+                at = np.repeat(a[i:j] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                stretch = data[low : int(b[i:j].max()) + length]
+                stretches.append(stretch)
+                starts.append(at - low + size)
+                places.append((doc << bits) + at)
+                size += len(stretch)
+                if size >= PIECE // 2:
+                    yield out()
+    if size:
+        yield out()
+
+
+def removed(n: int, kind: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``n`` bytes go.
+
+    Spans of kind 0 (later members) and 1 (earliest members) are ranges of windows
+    from ``a`` to ``b``; those of kind 2 are windows of earliest members that stay.
+    """
+    ranges = kind < 2
     windows = np.zeros(max(n - length + 1, 0) + 1, dtype=np.int32)
-    for a, b in (*later, *reps):
-        windows[a] += 1
-        windows[b + 1] -= 1
+    np.add.at(windows, a[ranges], 1)
+    np.subtract.at(windows, b[ranges] + 1, 1)
     marked = np.cumsum(windows)[:-1] > 0
-    marked[np.array(firsts, dtype=np.int64)] = False
-    cover = np.zeros(n + 1, dtype=np.int32)
+    marked[a[~ranges]] = False
     at = np.flatnonzero(marked)
+    cover = np.zeros(n + 1, dtype=np.int32)
     cover[at] += 1
     cover[at + length] -= 1
     return np.cumsum(cover)[:-1] > 0
@@ -149,15 +183,15 @@ def removed(n: int, later: list, reps: list, firsts: list, length: int) -> np.nd
 def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), text_bytes(batch, "text"), batch.column("spans").to_pylist(), strict=True):
+        for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), text_bytes(batch, "text"), _spans(batch), strict=True):
             kept, gone, n_spans = text, 0, 0
-            if spans:
-                own = {k: [(s["a"], s["b"]) for s in spans if s["kind"] == k] for k in (0, 1, 2)}
-                mask = removed(len(text), own[0], own[1], [a for a, _ in own[2]], length)
+            if len(own["a"]):
+                mask = removed(len(text), own["kind"], own["a"], own["b"], length)
                 gone = int(mask.sum())
                 n_spans = int((mask[1:] & ~mask[:-1]).sum() + mask[0])
-                kept = np.frombuffer(text, np.uint8)[~mask].tobytes()
-            rows.append((doc_id, len(text), gone, n_spans, hashlib.sha256(kept).hexdigest(), kept))
+                if gone:
+                    kept = np.frombuffer(text, np.uint8)[~mask].tobytes()
+            rows.append((doc_id, len(text), gone, n_spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         columns = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)]
         columns[0] = columns[0].cast(batch.schema.field("doc_id").type)
