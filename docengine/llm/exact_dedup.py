@@ -135,9 +135,14 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    kept = written(exact_dedup(docs).filter("kept").select("doc_id"), "dedup-kept")
-    out = docs.join(kept.distinct(), null_safe(docs, kept, ["doc_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with their own columns.
+
+    What is joined to the texts is the ids that go, the smaller side: Spark
+    broadcasts it while its size allows and shuffles beyond that.
+    """
+    gone = exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("stays")).filter("not stays").select("doc_id")
+    gone = written(gone, "dedup-gone")
+    out = docs.join(gone, null_safe(docs, gone, ["doc_id"]), "left_anti")
     repeats = docs.select("doc_id").groupBy("doc_id").count().filter("count > 1").limit(1)
     return out.dropDuplicates(["doc_id", "text"]) if repeats.first() else out
 

@@ -258,10 +258,14 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, budget: int = BU
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: the smallest doc_id of each component stays."""
-    kept = simhash_components(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    kept = written(kept, "simhash-kept")
-    return docs.join(kept, null_safe(docs, kept, ["doc_id"]), "left_semi")
+    """The rows of ``docs`` without near-duplicates: the smallest doc_id of each component stays.
+
+    What is joined to the texts is the ids that go, the smaller side.
+    """
+    stays = F.max(F.expr("doc_id <=> component_id")).alias("stays")
+    gone = simhash_components(docs).groupBy("doc_id").agg(stays).filter("not stays").select("doc_id")
+    gone = written(gone, "simhash-gone")
+    return docs.join(gone, null_safe(docs, gone, ["doc_id"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
