@@ -79,3 +79,36 @@ def test_units_are_split_until_small(spark):
                 if (a ^ b).bit_count() <= 2 and root[b] < root[a]:
                     root[a], changed = root[b], True
     assert got == {(v, r) for v, r in root.items() if sum(x == r for x in root.values()) > 1}
+
+
+def test_keep_one_finds_all_pairs_of_jaccard_080(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    rows = [(k, word(int(rng.integers(1, 120)))) for k in range(120)]
+    for k in range(120, 260):  # copies of copies with a few words changed, added or in capitals
+        own = list(rows[int(rng.integers(0, k))][1])
+        for _ in range(int(rng.integers(0, 4))):
+            own[int(rng.integers(0, len(own)))] = "Z"
+        rows.append((k, own + word(int(rng.integers(0, 4)))))
+    line = word(60)
+    rows += [(k, line + word(30)) for k in range(300, 340)] + [(k, line[:k] + ["Q"] + line[k:]) for k in range(400, 460) if k - 400 < 60]
+    rows += [(500, []), (501, ["one", "two"]), (502, ["ONE", "Two"]), (None, ["one", "two"])]
+    rows = [(d, " ".join(t)) for d, t in rows]
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(rows)))
+    for _ in range(12):
+        for i in range(len(rows)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if sets[i] == sets[j] or 5 * both >= 4 * len(sets[i] | sets[j]) > 0:
+                    root[i] = root[j] = min(root[i], root[j])
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        least[r] = min(least.get(r, 10**9), 10**9 if d is None else d)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.doc_id for r in S.keep_one(docs).collect()]
+    assert sorted(got) == sorted(least.values())
+    assert S.keep_one(docs.limit(0)).count() == 0
