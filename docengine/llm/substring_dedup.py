@@ -16,8 +16,10 @@ dropped from the next round. The rounds are
 
 Ranks are names rather than dense numbers: a rank by sorting costs a shuffle of
 one row per byte and round, over sixteen times the input a round, where names
-cost none and let unique places go at once. Rounds 1 and 2 together compare 96 bits, and
-so does round 3. A place is one integer: the document's number, then the byte.
+cost none and let unique places go at once. Regions of one gram are told apart by the
+64 bits of their own digest, windows in round 3 by 96 bits; no bytes are compared
+after that. Of k regions of one gram, k * k / 2^65 pairs are expected to be taken for
+each other: 7e-7 among 5 million. A place is one integer: the document's number, then the byte.
 
 Skew: counts and earliest places are pre-aggregated. What is joined back is joined
 from written tables, so a hot gram is a skewed join that Spark splits. Only a
@@ -88,7 +90,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int16())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16())
 
     def out(held: list) -> pa.RecordBatch:
         columns = [pa.array(np.concatenate(x), type=t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)]
@@ -103,7 +105,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits
                 lo, hi = lo + at, hi + at
                 digest = xxhash.xxh3_64_intdigest
                 r = [digest(text[i : j + length]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
-                held.append((g, np.array(r, dtype=np.uint64).astype(np.uint32).view(np.int32), (doc << bits) + lo, hi - lo))
+                held.append((g, np.array(r, dtype=np.uint64).view(np.int64), (doc << bits) + lo, hi - lo))
                 n += len(g)
                 if n > 200_000:
                     yield out(held)
@@ -242,7 +244,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         return doc(place).alias("doc"), F.lit(kind).alias("kind"), byte(place).alias("a"), (byte(place) + n).alias("b")
 
     run = partial(_anchor_rows, length=length, gram=gram, bits=bits)
-    rows = written(plain.mapInArrow(run, "g long, r int, place long, n short"), "substring-anchors")
+    rows = written(plain.mapInArrow(run, "g long, r long, place long, n short"), "substring-anchors")
     twice = written(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "substring-grams")
     same = written(rows.join(twice, "g", "left_semi"), "substring-same")
     discard(rows)

@@ -61,3 +61,19 @@ def test_long_documents_in_pieces():
     covered = sorted((int(a), int(b)) for a, b in zip(whole[1], whole[2]))
     assert covered[0][0] == 0 and covered[-1][1] == len(text) - 100
     assert all(b + 1 == a for (_, b), (a, _) in zip(covered, covered[1:]))
+
+
+def test_regions_of_one_gram_that_share_32_bits_of_their_digest(spark):
+    import numpy as np
+    import xxhash
+
+    rng = random.Random(8)
+    head = "".join(rng.choice("abcdefghij") for _ in range(80))
+    texts = [head + "".join(rng.choices("klmnopqrst", k=20)) for _ in range(200_000)]
+    low = np.array([xxhash.xxh3_64_intdigest(t) & 0xFFFFFFFF for t in texts], dtype=np.uint32)
+    order = np.argsort(low, kind="stable")
+    pairs = [(texts[i], texts[j]) for i, j in zip(order, order[1:]) if low[i] == low[j] and texts[i] != texts[j]]
+    gram = lambda t: int(S.anchors(np.frombuffer(t.encode(), np.uint8))[0][0])
+    one, two = next((a, b) for a, b in pairs if gram(a) == gram(b))
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert [r.n_removed for r in S.remove_repeats(docs).collect()] == [0, 0]
