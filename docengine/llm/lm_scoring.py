@@ -26,8 +26,9 @@ rare words.
 
 Gathered from all training texts: the counts of all words, and the hashed tables.
 Each task fills tables of a fixed size; tables are added up in a tree, sixty-four
-at a time, so no task gathers more than that. A slice of the training texts is left
-out of the hashed tables, and a bounded sample of it fits the starting weights.
+at a time, so no task gathers more than that. The starting weights are fitted on a
+slice of the training texts, all of it, over tables of the others; then the slice's
+own counts are added to the tables.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +55,7 @@ CHUNK = 1 << 16
 FAN_IN = 64
 SEGMENT = 128
 SLICE = 50
-CALIBRATION_DOCS = 300
-CALIBRATION_CHARS = 2_000_000
+ROUNDS = 6
 RATE = 0.02
 DOCS_AT_ONCE = 300
 SYMBOLS_AT_ONCE = 100_000
@@ -244,7 +245,7 @@ class Mixer:
 
     def calibrate(self, docs: list[np.ndarray]) -> None:
         """Start from the weights that documents end with, some times over."""
-        for _ in range(6 if docs else 0):
+        for _ in range(ROUNDS if docs else 0):
             ends = np.zeros_like(self.weights)
             self.score(docs, ends)
             self.weights = ends
@@ -309,6 +310,9 @@ def _added(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=_PART)
 
 
+_ENDS = pa.schema([("task", pa.int32()), ("n", pa.int64()), ("ends", pa.list_(pa.float64()))])
+
+
 class Model:
     """What scoring needs: the mixer, the spelling, and totals of the training texts."""
 
@@ -317,6 +321,35 @@ class Model:
         self.total, self.distinct, self.rare, self.once = total, distinct, rare, once
 
 
+def fit_weights(mixer: Mixer, held: DataFrame) -> None:
+    """What ``calibrate`` does, over all texts of a table: tasks add up the weights that documents end with."""
+
+    def run(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        ends, n = None, 0
+        for batch in batches:
+            own, texts = shared.value, list(text_bytes(batch, "text"))
+            for at in range(0, len(texts), DOCS_AT_ONCE):
+                docs = [own.code.symbols(tokens_of(t)) for t in texts[at : at + DOCS_AT_ONCE]]
+                mean = np.zeros_like(own.weights)
+                own.score(docs, mean)
+                ends = mean * len(docs) + (0 if ends is None else ends)
+                n += len(docs)
+        if n:
+            row = {"task": TaskContext.get().partitionId(), "n": n, "ends": ends.ravel().tolist()}
+            yield pa.RecordBatch.from_pylist([row], schema=_ENDS)
+
+    for _ in range(ROUNDS):
+        shared = held.sparkSession.sparkContext.broadcast(mixer)
+        rows = held.mapInArrow(partial(run, shared=shared), "task int, n long, ends array<double>").collect()  # one short row a task
+        shared.destroy()
+        if not rows:
+            return
+        rows.sort(key=lambda r: r.task)
+        mixer.weights = np.sum([r.ends for r in rows], axis=0).reshape(mixer.weights.shape) / sum(r.n for r in rows)
+
+
 def train(docs: DataFrame) -> Model:
     """Learns from the rows outside the held-out fold; a null doc_id is in no fold and is learnt from."""
     spark = docs.sparkSession
@@ -345,30 +378,33 @@ def train(docs: DataFrame) -> Model:
         for row in _packed(TaskContext.get().partitionId(), tables):
             yield pa.RecordBatch.from_pylist([row], schema=_PART)
 
-    schema = "task long, chunk int, data binary"
-    parts = texts.filter(~aside).select("text")
-    n = parts.rdd.getNumPartitions()
-    parts = written(parts.mapInArrow(fill, schema), "lm-tables")
-    while True:
-        n = -(-n // FAN_IN)
-        parts = parts.withColumn("into", F.expr(f"task div {FAN_IN}")).groupBy("chunk", "into").applyInArrow(_added, schema)
-        parts = written(parts, "lm-tables")
-        if n <= 1:
-            break
-    counts = np.zeros((ORDERS << TABLE_BITS, 2), np.uint32)
-    for r in parts.toLocalIterator():  # tables of a fixed size
-        data = np.frombuffer(bytes(r.data), "<u4").reshape(2, CHUNK)
-        counts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = data.T
-    mixer = Mixer(code, counts.reshape(ORDERS, -1, 2))
+    def gathered(some: DataFrame) -> np.ndarray:
+        schema = "task long, chunk int, data binary"
+        n = some.rdd.getNumPartitions()
+        parts = written(some.mapInArrow(fill, schema), "lm-tables")
+        while True:
+            n = -(-n // FAN_IN)
+            parts = parts.withColumn("into", F.expr(f"task div {FAN_IN}")).groupBy("chunk", "into").applyInArrow(_added, schema)
+            parts = written(parts, "lm-tables")
+            if n <= 1:
+                break
+        counts = np.zeros((ORDERS << TABLE_BITS, 2), np.uint32)
+        for r in parts.toLocalIterator():  # tables of a fixed size
+            data = np.frombuffer(bytes(r.data), "<u4").reshape(2, CHUNK)
+            counts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = data.T
+        return counts.reshape(ORDERS, -1, 2)
+
+    held = written(texts.filter(aside).select("text"), "lm-slice")
+    counts = gathered(texts.filter(~aside).select("text"))
+    mixer = Mixer(code, counts)
+    fit_weights(mixer, held)
+    weights = mixer.weights
+    more = gathered(held)
+    counts += np.minimum(more, np.uint32(2**32 - 1) - counts)
+    del more, mixer
+    mixer = Mixer(code, counts)
+    mixer.weights = weights
     del counts
-    some = texts.filter(aside).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(CALIBRATION_DOCS)
-    some = some.select("text", F.length("text").alias("n"))
-    held, size = [], 0
-    for r in some.toLocalIterator():
-        if size + r.n <= CALIBRATION_CHARS:
-            size += r.n
-            held.append(code.symbols(tokens_of(r.text.encode())))
-    mixer.calibrate(held)
     return Model(mixer, spelled, n_words + n_docs, distinct + (n_docs > 0), rare, once, words)
 
 

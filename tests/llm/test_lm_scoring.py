@@ -70,3 +70,20 @@ def test_score_depends_on_the_document_alone():
     docs = [rng.integers(0, 60, n) for n in (3, 900, 40, 300)]
     mixer = L.Mixer(code, L.count_tables(code, iter([[b"w%d" % k for k in d] for d in docs])))
     assert np.allclose(mixer.score(docs), [mixer.score([d])[0] for d in docs])
+
+
+def test_slice_is_learnt_from_and_fits_the_weights_as_a_whole(spark):
+    from pyspark.sql import functions as F
+
+    ids = [r.id for r in spark.range(40_000).filter(F.pmod(F.xxhash64("id"), F.lit(L.SLICE)) == 0).collect()]
+    inside = [i for i in ids if not fold(i)]
+    outside = [i for i in range(400) if i not in ids and not fold(i)]
+    assert len(inside) > 400
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.5, 12) % 50)) for i in inside + outside]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    code, words = model.mixer.code, [L.tokens_of(t.encode()) for _, t in rows]
+    assert (model.mixer.tables == L.Mixer(code, L.count_tables(code, iter(words))).tables).all()
+    local = L.Mixer(code, L.count_tables(code, iter(words[len(inside) :])))
+    local.calibrate([code.symbols(w) for w in words[: len(inside)]])
+    assert np.allclose(model.mixer.weights, local.weights)
