@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docengine.session import discard, ship_code, shared_dir, written
 
-__all__ = ["crc32_of_id", "discard", "load", "null_safe", "ship_code", "shared_dir", "text_bytes", "written"]
+__all__ = ["crc32_joined", "crc32_of_id", "discard", "load", "null_safe", "ship_code", "shared_dir", "text_bytes", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,3 +34,23 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
     """The column's values as UTF-8 bytes, one at a time; null is empty."""
     for value in batch.column(column).cast(pa.large_binary()):
         yield value.as_py() or b""
+
+
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials modulo that of crc32, lowest power in the highest bit."""
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def crc32_joined(first: int, second: int, n: int) -> int:
+    """crc32 of two byte strings one after the other, from theirs and the length of the second."""
+    power, square = 1 << 31, 1 << 23  # one, and the eighth power of x: one byte
+    while n:
+        if n & 1:
+            power = _times(power, square)
+        square, n = _times(square, square), n >> 1
+    return _times(power, first) ^ second

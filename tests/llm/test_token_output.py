@@ -36,6 +36,40 @@ def test_odd_texts_and_split_documents(spark):
     assert T.read_digests(T.write_segments(docs.limit(0), PATH)).count() == 0
 
 
+def test_repeated_and_null_ids_of_split_documents(spark):
+    big, text = "word " * 90, "x"
+    rows = [(7, big), (7, big), (8, text), (None, big), (None, big), (7, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (64, 100, 1 << 20):
+        got = T.read_digests(T.write_segments(docs, PATH, segment_ids=size, partitions=2)).collect()
+        assert sorted(r.start for r in got) == sorted({r.start for r in got})
+        assert sum(r.n_tokens for r in got) == max(r.start + r.n_tokens for r in got)
+        counted = lambda x: sorted(x, key=str)
+        assert counted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == counted((a, c, d) for a, _, c, d in brute(rows))
+        order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+        assert order == [None, None, 7, 7, 7, 8]
+
+
+def test_encoder_equals_the_tokenizer_on_random_marks():
+    rng, tokenizer, words = np.random.default_rng(5), Tokenizer.from_file(PATH), T._Pieces(PATH)
+    parts = ["a", "It's", "word", "é", "ça", "×", "\u00a0", "\u2003", "\u3000", "漢", " ", " ", " ", "\n", "\t", ",", ".", "!", "'", "9", "\x00", "\x85", "long" * 9, "“", "🙂"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(3000)]
+    for text, (ids, last) in zip(texts, T.encode_texts((t.encode() for t in texts), words), strict=True):
+        assert last and ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_text_in_slices(monkeypatch):
+    monkeypatch.setattr(T, "SLICE_BYTES", 200)
+    monkeypatch.setattr(T, "PIECES_AT_ONCE", 16)
+    monkeypatch.setattr(T, "CACHE_WORDS", 40)
+    text = " ".join(f"w{k * k % 997} é, x" for k in range(400))
+    got = list(T.encode_texts(iter([text.encode(), b"b"]), T._Pieces(PATH)))
+    ends = [k for k, (_, last) in enumerate(got) if last]
+    ids = np.concatenate([x for x, _ in got[: ends[0] + 1]]).tolist()
+    assert len(ends) == 2 and ends[0] > 5
+    assert ids == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("high", [1, 2, 300, 50_000, 1 << 32])
 def test_round_trip(high):
     rng = np.random.default_rng(high % 97)
