@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docengine.session import discard, ship_code, shared_dir, written
 
-__all__ = ["crc32_joined", "crc32_of_id", "discard", "load", "null_safe", "ship_code", "shared_dir", "text_bytes", "written"]
+__all__ = ["crc32_joined", "crc32_of_id", "discard", "keyed", "load", "null_safe", "ship_code", "shared_dir", "text_bytes", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,21 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart, and that column's name.
+
+    It is doc_id's value where that is never null or repeated. Otherwise rows are numbered,
+    and written so that the numbers stay.
+    """
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    odd = docs.select("doc_id").groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
+    if odd.first() is None:
+        return docs.withColumn(key, F.col("doc_id")), key
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-rows"), key
+
+
 def null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     """A join condition on ``names`` under which null equals null."""
     condition = F.lit(True)

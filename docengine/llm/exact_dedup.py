@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import load, null_safe, written
+from docengine.llm.common import keyed, load, null_safe, written
 
 NAME = "op6_exact_dedup"
 BLOCK_CHARS = 4096
@@ -91,8 +91,8 @@ def identities(docs: DataFrame, slim: DataFrame, block_chars: int = BLOCK_CHARS)
     return written(out, "dedup-identities")
 
 
-def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, key: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 and, if given, the column ``key``.
 
     Of equal texts the row with the most code points in the original text stays,
     then the one with the smallest doc_id. Defined cases: a null text is empty;
@@ -102,8 +102,11 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     Other columns of ``docs`` are not read.
     """
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", F.length(text).alias("n_chars"), normalised(F.col("text")).alias("norm")).select(
+    keys = ["key"] if key else []
+    own = [F.col(key).alias("key")] if key else []
+    slim = docs.select("doc_id", *own, F.length(text).alias("n_chars"), normalised(F.col("text")).alias("norm")).select(
         "doc_id",
+        *keys,
         "n_chars",
         F.octet_length("norm").alias("norm_len"),
         F.xxhash64("norm").alias("hash"),
@@ -114,7 +117,7 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     ids = identities(docs, slim, block_chars)
     if ids is None:
         return slim.select(
-            "doc_id", F.col("doc_id").alias("keep_id"), alone.alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+            "doc_id", F.col("doc_id").alias("keep_id"), alone.alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *[F.col(k).alias(key) for k in keys]
         )
     rows = slim.join(ids, null_safe(slim, ids, _UNIT), "left").select(slim["*"], ids["level"], ids["name"])
     rows = written(rows, "dedup-rows")
@@ -131,20 +134,21 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         F.coalesce("group_size", alone).alias("group_size"),
         F.coalesce(F.col("stays.uid") == F.col("uid"), F.lit(True)).alias("kept"),
         "text_sha256",
+        *[F.col(k).alias(key) for k in keys],
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns.
+    """The rows of ``docs`` that stay, with their own columns: one row of each group of equal texts.
 
-    What is joined to the texts is the ids that go, the smaller side: Spark
-    broadcasts it while its size allows and shuffles beyond that.
+    Rows are told apart by number where doc_ids are repeated or null, so exactly one of a group
+    stays. Defined cases are those of ``exact_dedup``; an empty table stays empty and columns of
+    any name pass through. What is joined to the texts is the rows that go, the smaller
+    side: Spark broadcasts it while its size allows and shuffles beyond that.
     """
-    gone = exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("stays")).filter("not stays").select("doc_id")
-    gone = written(gone, "dedup-gone")
-    out = docs.join(gone, null_safe(docs, gone, ["doc_id"]), "left_anti")
-    repeats = docs.select("doc_id").groupBy("doc_id").count().filter("count > 1").limit(1)
-    return out.dropDuplicates(["doc_id", "text"]) if repeats.first() else out
+    rows, key = keyed(docs)
+    gone = written(exact_dedup(rows, key=key).filter("not kept").select(key), "dedup-gone")
+    return rows.join(gone, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ as DataFrames, four bits a step: a pair is split until it holds few fingerprints
 so a crowded subtree is cut as finely as it needs. The remaining small pairs are
 walked bit by bit by Arrow tasks.
 
-That is the query. ``keep_one``, the pipeline's stage, goes by the similarity of sets of
-five-word shingles instead (``near_components``).
+That is the query. ``keep_one``, the pipeline's stage, walks the same trie over several
+selections of the bits of wider fingerprints and verifies what it links by the
+similarity of sets of five-word shingles (``near_components``).
 
 A task returns a spanning forest of the links that it finds, never all pairs.
 Links become components by minimum labels with pointer jumping over written
@@ -24,10 +25,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import discard, load, null_safe, ship_code, text_bytes, written
+from docengine.llm.common import discard, keyed, load, ship_code, text_bytes, written
 
 NAME = "op7_simhash_dedup"
 SHINGLE = 3
@@ -35,9 +36,11 @@ BUDGET = 2
 STEP = 4
 UNIT_ROWS = 1 << 17
 NEAR_WORDS = 5
+WIDE_BUDGET = 30
+TABLES = 60
+DOCS_AT_ONCE = 256
 ORDER_DOCS = 10_000
-ORDER_SHINGLES = 1 << 20
-FILTER_BITS = 26
+ORDER_SHINGLES = 1 << 18
 _CHUNK = 1 << 20
 
 
@@ -155,14 +158,45 @@ def _walk_unit(table: pa.Table, budget: int) -> pa.Table:
     return pa.table({"src": nodes[moved].view(np.int64), "dst": nodes[forest.label[moved]].view(np.int64)})
 
 
+def _walk_wide(table: pa.Table, budget: int, wide_budget: int) -> pa.Table:
+    """As ``_walk_unit``, but a link must hold for the wide fingerprints too, and links themselves are returned, near ones first."""
+    side, depth = table.column("side").to_numpy(), int(table.column("depth")[0].as_py())
+    fp, one, two, size, name = (table.column(c).to_numpy() for c in ("fp", "p1", "p2", "n", "id"))
+    fp = fp.view(np.uint64)
+    order = np.lexsort((fp, side))
+    cut = int((side == 0).sum())
+    fp, one, two, size, name = (x[order] for x in (fp, one, two, size, name))
+    same = cut == len(fp)
+    forest, out = _Forest(len(fp)), []
+    for i, j in _pairs_within(fp[:cut], fp[:cut] if same else fp[cut:], same, depth, budget):
+        j = j if same else j + cut
+        apart = np.bitwise_count(one[i] ^ one[j]).astype(np.int64) + np.bitwise_count(two[i] ^ two[j])
+        near = (apart <= wide_budget) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
+        by = np.argsort(apart[near], kind="stable")
+        i, j, apart = i[near][by], j[near][by], apart[near][by]
+        while len(i):  # each component takes its nearest link, until all are joined
+            high = np.maximum(forest.label[i], forest.label[j])
+            _, first = np.unique(high, return_index=True)
+            first = first[forest.label[i[first]] != forest.label[j[first]]]
+            out.append((name[i[first]], name[j[first]], apart[first]))
+            forest.link(i[first], j[first])
+            left = forest.label[i] != forest.label[j]
+            i, j, apart = i[left], j[left], apart[left]
+    x, y, d = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
+    return pa.table({"src": np.minimum(x, y), "dst": np.maximum(x, y), "apart": pa.array(d, type=pa.int64())})
+
+
 def _masks(bits: int, budget: int) -> list[int]:
     return [m for m in range(1 << bits) if m.bit_count() <= budget]
 
 
-def trie_links(prints: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_ROWS) -> DataFrame:
+def trie_links(prints: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_ROWS, wide_budget: int | None = None) -> DataFrame:
     """(src, dst) between distinct fingerprints ``fp``: a forest with the components of all links.
 
-    ``prints`` must be a written table of distinct values.
+    ``prints`` must be a written table of distinct values. With a ``wide_budget`` it also has
+    id, the wide fingerprint p1 and p2 and the size n of what was hashed; a link then
+    needs at most so many differing bits in that and sizes of a ratio of 0.8 or more, and
+    the result is (src, dst, apart) with ids and these bits.
     """
     spark = prints.sparkSession
     ship_code(spark)
@@ -198,18 +232,19 @@ def trie_links(prints: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_RO
             break
     units = written(units, "trie-units")
     out = None
+    held = prints.columns
     for d in range(STEP, depth + 1, STEP):
         at = units.filter(F.col("depth") == d)
-        keyed = prints.select("fp", F.shiftrightunsigned("fp", 64 - d).alias("node"))
+        keyed = prints.select(*held, F.shiftrightunsigned("fp", 64 - d).alias("node"))
         one = at.select("a1", "b1", F.col("a1").alias("node"), F.lit(0).alias("side"), "depth")
         two = at.filter("a1 <> b1").select("a1", "b1", F.col("b1").alias("node"), F.lit(1).alias("side"), "depth")
-        rows = one.unionByName(two).join(keyed, "node").select("a1", "b1", "depth", "side", "fp")
+        rows = one.unionByName(two).join(keyed, "node").select("a1", "b1", "depth", "side", *held)
         out = rows if out is None else out.unionByName(rows)
 
     def walk(unit: pa.Table) -> pa.Table:
-        return _walk_unit(unit, budget)
+        return _walk_unit(unit, budget) if wide_budget is None else _walk_wide(unit, budget, wide_budget)
 
-    found = out.groupBy("a1", "b1", "depth").applyInArrow(walk, "src long, dst long")
+    found = out.groupBy("a1", "b1", "depth").applyInArrow(walk, "src long, dst long" + (", apart long" if wide_budget is not None else ""))
     return written(found.distinct(), "trie-links")
 
 
@@ -276,30 +311,42 @@ def shingle_set(text: bytes, words: int = NEAR_WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), dtype=np.uint64).view(np.int64))
 
 
+def wide_print(hashes: np.ndarray) -> bytes:
+    """The 128-bit SimHash of a set of hashes, as bytes; zero for an empty set."""
+    counts = np.zeros(128, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        own = hashes[at : at + (1 << 15)].view(np.uint64)
+        other = own * np.uint64(0x9E3779B97F4A7C15)
+        other = (other ^ other >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        lanes = np.stack([own, other ^ other >> np.uint64(32)], axis=1).view(np.uint8)
+        counts += np.unpackbits(lanes, axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in text_bytes(batch, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text))], ["h"])
+        for _, held, _ in _parts(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *held]))], ["h"])
 
 
-def _ordered_sets(batches: Iterator[pa.RecordBatch], common) -> Iterator[tuple[pa.Array, list[bytes], list[np.ndarray]]]:
-    """(doc_id, digest, hashes) of each batch: the documents' shingles, those that are common last."""
-    keys, counts = common.value
-    for batch in batches:
-        held, digests = [], []
-        for text in text_bytes(batch, "text"):
-            own = shingle_set(text)
-            digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
-            held.append(own)
-        yield batch.column("doc_id"), digests, held
-
-
-def _prefix(hashes: np.ndarray) -> np.ndarray:
+def _first_ones(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first ``n - ceil(0.8 n) + 1`` of a set's hashes, those that are common last; sets of that similarity share one."""
+    keys, counts = common
     n = len(hashes)
-    return hashes[: n - (4 * n + 4) // 5 + 1] if n else hashes
+    if not n:
+        return hashes
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        hashes = hashes[np.argsort(np.where(keys[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: n - (4 * n + 4) // 5 + 1]
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[bytes]]]:
+    """(rows, shingle sets, digests of these) of some documents at a time, so few sets are held at once."""
+    for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+        some = batch.slice(at, DOCS_AT_ONCE)
+        held = [shingle_set(text) for text in text_bytes(some, "text")]
+        yield some, held, [xxhash.xxh3_128_digest(x.tobytes()) for x in held]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -307,49 +354,56 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]).astype(np.int64)))
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _near_rows(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for some, held, digests in _parts(batch):
+            wide = np.frombuffer(b"".join(map(wide_print, held)), np.int64).reshape(-1, 2)
+            columns = [pa.array(digests, type=pa.binary()), pa.array(list(map(len, held)), type=pa.int64())]
+            columns += [pa.array(wide[:, 0].copy()), pa.array(wide[:, 1].copy()), _lists([_first_ones(x, common.value) for x in held])]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("key"), *columns], ["doc_id", "key", "node", "n", "p1", "p2", "first"])
 
 
-def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hits(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(node, i, h): of the first hashes those that other documents may have too, with their places."""
+    bits, words = shared.value
     for batch in batches:
-        slot = _slot(batch.column(0).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array(slot >> 5), pa.array(np.int64(1) << (slot & 31))], ["at", "bit"])
+        column = batch.column("first")
+        own, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+        at = np.flatnonzero(_held(words, _slot(own, bits)))
+        row = np.searchsorted(ends, at, side="right")
+        place = at - np.concatenate([[0], ends])[row]
+        columns = [batch.column("node").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array(place), pa.array(own[at])]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "n", "i", "h"])
 
 
-def _filter(keys: DataFrame):
-    """A broadcast of FILTER_BITS bits with those of the keys set. It saves work alone: exact joins follow."""
-    words = keys.mapInArrow(_slots_of, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(out)
+def _selections() -> np.ndarray:
+    """Four of the sixteen bytes of a wide fingerprint for each table; four tables share out all of them."""
+    rng = np.random.default_rng(31)
+    return np.concatenate([rng.permutation(16).reshape(4, 4) for _ in range(-(-TABLES // 4))])[:TABLES]
 
 
-def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = _slot(keys)
-    return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each table and node: the table's number three times over, so that two tables differ in more bits than the budget, and its bits."""
+    for batch in batches:
+        wide = np.stack([batch.column(c).to_numpy() for c in ("p1", "p2")], axis=1).view(np.uint8)
+        for table, taken in enumerate(_selections()):
+            own = np.ascontiguousarray(wide[:, taken]).view("<u4").ravel().astype(np.uint64)
+            head = np.uint64(table << 58 | table << 52 | table << 46)
+            yield pa.RecordBatch.from_arrays([pa.array((head | own << np.uint64(14)).view(np.int64)), *batch.columns], ["fp", *batch.schema.names])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
-    for _, _, held in _ordered_sets(batches, common):
-        for x in held:
-            yield pa.RecordBatch.from_arrays([pa.array(_prefix(x))], ["h"])
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _hits(batches: Iterator[pa.RecordBatch], common, twice) -> Iterator[pa.RecordBatch]:
-    """(doc_id, node, n, places, hashes): of the first shingles those that other documents may have too."""
-    for ids, digests, held in _ordered_sets(batches, common):
-        places = [np.flatnonzero(_may_hold(twice.value, _prefix(x))) for x in held]
-        own = [x[at] for x, at in zip(held, places, strict=True)]
-        columns = [ids, pa.array(digests, type=pa.binary()), pa.array(list(map(len, held)), type=pa.int32()), _lists(places), _lists(own)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "places", "hashes"])
+def _held(words: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (words[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
 
 
-def _wholes(batches: Iterator[pa.RecordBatch], common, wanted) -> Iterator[pa.RecordBatch]:
-    for _, digests, held in _ordered_sets(batches, common):
-        take = _may_hold(wanted.value, np.frombuffer(b"".join(d[:8] for d in digests), np.int64))
-        columns = [pa.array([d for d, t in zip(digests, take, strict=True) if t], type=pa.binary()), _lists([x for x, t in zip(held, take, strict=True) if t])]
-        yield pa.RecordBatch.from_arrays(columns, ["node", "hashes"])
+def _slots_of(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slot = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
+        yield pa.RecordBatch.from_arrays([pa.array(slot >> 5), pa.array(np.int64(1) << (slot & 31))], ["at", "bit"])
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,83 +412,141 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(head)], ["head"])
 
 
-def _like(a: str, b: str, overlap: Column) -> Column:
-    """Whether sets of ``a`` and ``b`` shingles with this overlap have a Jaccard similarity of 0.8 or more, in integers."""
-    return overlap * 9 >= (F.col(a) + F.col(b)) * 4
+def _filter(keys: DataFrame):
+    """A broadcast of bits, sixteen for each key and 2^28 (32 MB) at most, with those of the keys set.
 
+    It saves work alone: an exact join follows.
+    """
+    bits = min(max((16 * keys.count()).bit_length(), 12), 28)
+    words = keys.mapInArrow(partial(_slots_of, bits=bits), "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    words = words.toArrow()
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast((bits, out))
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) per row: the smallest doc_id that is reachable over links of Jaccard 0.8 or more.
 
-    Sets of five-word shingles are compared by a prefix-filter join, which misses no
-    pair: under one order of all shingles, sets of that similarity share one of
-    their first ``n - ceil(0.8 n) + 1``. The order puts last what is common in a sample of
-    texts; it decides about the time alone. Every candidate is verified with the
-    whole sets, a set being named by a 128-bit digest. Texts are hashed again where sets
-    are needed, rather than sets written. Each shingle's members are first compared with one of them, drawn
-    in one of eight orders; then all pairs of members that are not yet in one component.
+def _wholes(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+    bits, words = wanted.value
+    for batch in batches:
+        for _, held, digests in _parts(batch):
+            take = np.flatnonzero(_held(words, _slot(np.frombuffer(b"".join(d[:8] for d in digests), np.int64), bits))).tolist()
+            if take:
+                columns = [pa.array([digests[k] for k in take], type=pa.binary()), _lists([held[k] for k in take])]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "hashes"])
+
+
+def near_candidates(nodes: DataFrame, budget: int = BUDGET, wide_budget: int = WIDE_BUDGET) -> DataFrame:
+    """(src, dst, apart) of nodes (id, p1, p2, n): links that a walk of the trie finds, a forest for each unit.
+
+    The trie holds ``TABLES`` selections of 32 of the 128 bits, each below a number of its
+    own. Nodes of one key are compared with one of them; the walk goes over distinct keys.
     """
+    schema = "fp long, id long, p1 long, p2 long, n long"
+    keys = written(nodes.select("id", "p1", "p2", "n").mapInArrow(_keys, schema), "near-keys")
+    drawn = F.min(F.struct(F.xxhash64("id", "fp").alias("o"), "id", "p1", "p2", "n")).alias("x")
+    reps = keys.groupBy("fp").agg(F.count("*").alias("c"), drawn).select("fp", "c", "x.id", "x.p1", "x.p2", "x.n")
+    reps = written(reps, "near-reps")
+    to = reps.filter("c > 1").select("fp", F.col("id").alias("to"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("n").alias("m"))
+    apart = (F.bit_count(F.col("p1").bitwiseXOR(F.col("q1"))) + F.bit_count(F.col("p2").bitwiseXOR(F.col("q2")))).cast("long")
+    star = keys.join(to, "fp").filter((F.col("id") != F.col("to")) & (apart <= wide_budget) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
+    star = star.select(F.least("id", "to").alias("src"), F.greatest("id", "to").alias("dst"), apart.alias("apart"))
+    links = trie_links(reps.drop("c"), budget, wide_budget=wide_budget)
+    out = written(star.unionByName(links).groupBy("src", "dst").agg(F.min("apart").alias("apart")), "near-candidates")
+    discard(keys)
+    return out
+
+
+def _near_groups(docs: DataFrame, wide_budget: int) -> DataFrame:
+    """(doc_id, key, group) of rows (doc_id, key, text)."""
     spark = docs.sparkSession
     ship_code(spark)
-    docs = docs.select("doc_id", "text")
+    kinds = dict(docs.dtypes)
     every = max(docs.count() // ORDER_DOCS, 1)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
-    common = some.mapInArrow(_shingles, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
+    sampled = docs.filter(F.pmod(F.xxhash64("key", "text"), F.lit(every)) == 0).select("doc_id", "text")
+    common = sampled.mapInArrow(_shingles, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
     common = common.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).orderBy("h").toArrow()
     common = spark.sparkContext.broadcast(tuple(common.column(k).to_numpy() for k in ("h", "n")))
-    prefixes = docs.mapInArrow(partial(_prefixes, common=common), "h long")
-    twice = written(prefixes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "near-twice")
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, n int, places array<long>, hashes array<long>"
-    rows = written(docs.mapInArrow(partial(_hits, common=common, twice=_filter(twice)), schema), "near-rows")
-    hits = rows.select("node", "n", F.inline(F.arrays_zip(F.col("places").alias("i"), F.col("hashes").alias("h"))).alias("i", "h"))
-    hits = written(hits.distinct(), "near-hits")
-    drawn = hits.select("h", F.struct(F.xxhash64("node", F.pmod("h", F.lit(8))).alias("o"), F.col("node").alias("to"), F.col("n").alias("m"), F.col("i").alias("j")).alias("x"))
-    drawn = drawn.groupBy("h").agg(F.count("*").alias("c"), F.min("x").alias("x")).filter("c > 1").select("h", "x.to", "x.m", "x.j")
-    shared = written(hits.join(written(drawn, "near-drawn"), "h"), "near-shared")
-    discard(hits)
-    del hits
-    # the first shingle that a pair shares leaves room for an overlap of what follows in both
-    room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    schema = f"doc_id {kinds['doc_id']}, key {kinds['key']}, node binary, n long, p1 long, p2 long, first array<long>"
+    rows = written(docs.mapInArrow(partial(_near_rows, common=common), schema), "near-rows")
+    twice = rows.select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    twice = written(twice, "near-twice")
+    hits = rows.select("node", "n", "first").mapInArrow(partial(_hits, shared=_filter(twice)), "node binary, n long, i long, h long")
+    hits = written(hits.join(twice, "h", "left_semi").distinct(), "near-hits")
+    wanted = hits.select("node").distinct()
+    each = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "p1", "p2")])
+    some = written(each.join(wanted, "node", "left_semi").withColumn("id", F.monotonically_increasing_id()), "near-some")
+    found = near_candidates(some, wide_budget=wide_budget)
+    whole = docs.select("text").mapInArrow(partial(_wholes, wanted=_filter(some.select("node").mapInArrow(_heads, "head long"))), "node binary, hashes array<long>")
+    whole = whole.join(some.select("node", "id"), "node").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    whole = written(whole, "near-whole")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        nodes = written(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct(), "near-wanted")
-        wanted = _filter(nodes.mapInArrow(_heads, "head long"))
-        whole = docs.mapInArrow(partial(_wholes, common=common, wanted=wanted), "node binary, hashes array<long>")
-        whole = written(whole.groupBy("node").agg(F.first("hashes").alias("hashes")).join(nodes, "node", "left_semi"), "near-whole")
-        one, two = whole.toDF("src", "a"), whole.toDF("dst", "b")
-        both = pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b", F.size("a").alias("n"), F.size("b").alias("m"))
-        both = written(both.filter(_like("n", "m", F.size(F.array_intersect("a", "b")))).select("src", "dst"), "near-links")
-        discard(whole)
-        return both
-
-    first = shared.filter((F.col("node") != F.col("to")) & _like("n", "m", room))
-    first = written(first.select(F.least("node", "to").alias("src"), F.greatest("node", "to").alias("dst")).distinct(), "near-first")
+        both = pairs.select("src", "dst").join(whole.toDF("src", "a"), "src").join(whole.toDF("dst", "b"), "dst")
+        overlap, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+        return written(both.filter(overlap * 9 >= total * 4).select("src", "dst"), "near-links")
+
+    def labels(links: DataFrame) -> DataFrame:
+        return components(links).toDF("known", "label")
+
+    first = written(found.groupBy("dst").agg(F.min(F.struct("apart", "src")).alias("x")).select("x.src", "dst"), "near-first")
     links = verified(first)
-    labels = components(links).toDF("known", "label")
-    marked = shared.join(labels, F.col("node") == F.col("known"), "left").select("h", "node", "n", "i", F.coalesce("label", "node").alias("label"))
-    marked = written(marked, "near-marked")
+    named = labels(links)
+    label = lambda side: F.coalesce(f"label_{side}", side)
+    more = found.select("src", "dst").join(first, ["src", "dst"], "left_anti")
+    more = more.join(named.toDF("src", "label_src"), "src", "left").join(named.toDF("dst", "label_dst"), "dst", "left")
+    more = written(more.filter(label("src") != label("dst")).select("src", "dst"), "near-more")
+    links = links.unionByName(verified(more))
+    named = labels(links)
+    # what the tables miss: first hashes that nodes of several components share
+    marked = hits.join(some.select("node", "id"), "node").join(named, F.col("id") == F.col("known"), "left")
+    marked = written(marked.select("h", "id", "n", "i", F.coalesce("label", "id").alias("label")), "near-marked")
     mixed = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("h")
     marked = written(marked.join(mixed, "h", "left_semi"), "near-mixed")
     one, two = marked.toDF("h", "src", "n", "i", "la"), marked.toDF("h", "dst", "m", "j", "lb")
-    more = one.join(two, (one["h"] == two["h"]) & (F.col("src") < F.col("dst")) & (F.col("la") != F.col("lb")) & _like("n", "m", room))
-    more = written(more.select("src", "dst").distinct().join(first, ["src", "dst"], "left_anti"), "near-more")
-    links = links.unionByName(verified(more))
-    labels = components(links).toDF("known", "label")
-    ids = rows.select("doc_id", "node").join(labels, F.col("node") == F.col("known"), "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    ids = written(ids, "near-labelled")
-    least = written(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")), "near-least")
-    return ids.join(least, "label").select("doc_id", "component_id")
+    # the first one that a pair shares leaves room for an overlap of what follows in both
+    room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * 9 >= (F.col("n") + F.col("m")) * 4
+    rest = one.join(two, (one["h"] == two["h"]) & (F.col("src") < F.col("dst")) & (F.col("la") != F.col("lb")) & room)
+    rest = written(rest.select("src", "dst").distinct(), "near-rest")
+    named = labels(links.unionByName(verified(rest)))
+    groups = written(some.select("node", "id").join(named, F.col("id") == F.col("known")).select("node", "label"), "near-groups")
+    group = F.coalesce(F.col("label").cast("string"), F.hex("node")).alias("group")
+    out = written(rows.select("doc_id", "key", "node").join(groups, "node", "left").select("doc_id", "key", group), "near-rows-of-groups")
+    for table in (rows, hits, marked, whole, found):
+        discard(table)
+    return out
+
+
+def near_components(docs: DataFrame, wide_budget: int = WIDE_BUDGET) -> DataFrame:
+    """(doc_id, component_id) per row: the smallest doc_id that is reachable over links of Jaccard 0.8 or more.
+
+    Sets of five-word shingles are compared; equal sets are one node. Under one order of all
+    shingles, sets of that similarity share one of their first ``n - ceil(0.8 n) + 1``; nodes that share none
+    with another are left out. The order puts last what is common in a sample of texts; it
+    decides about the time alone. The others go through the trie
+    (``near_candidates``), and a pair that it links within ``wide_budget`` of 128 bits is
+    verified with the whole sets: first the nearest link of each node, then those that
+    would still join two components. So that no pair is missed by a budget of bits, first
+    shingles that several components still share give the pairs that are left,
+    which are verified too. Defined cases as for ``keep_one``.
+    """
+    groups = _near_groups(docs.select("doc_id", F.col("doc_id").alias("key"), "text"), wide_budget)
+    smallest = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return groups.join(smallest, "group").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: the smallest doc_id of each component of ``near_components`` stays.
+def keep_one(docs: DataFrame, wide_budget: int = WIDE_BUDGET) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, with their own columns: one row of each component stays.
 
-    What is joined to the texts is the ids that go, the smaller side.
+    It is the one with the smallest doc_id, of several with that id any one. Defined cases: a
+    null text is empty, and texts without words are copies of each other; a null
+    doc_id stays only where its component has no other; an empty table stays empty;
+    columns of any name pass through. What is joined to the texts is the rows that go, the smaller side.
     """
-    stays = F.max(F.expr("doc_id <=> component_id")).alias("stays")
-    gone = near_components(docs).groupBy("doc_id").agg(stays).filter("not stays").select("doc_id")
-    gone = written(gone, "near-gone")
-    return docs.join(gone, null_safe(docs, gone, ["doc_id"]), "left_anti")
+    rows, key = keyed(docs)
+    groups = _near_groups(rows.select("doc_id", F.col(key).alias("key"), "text"), wide_budget)
+    stays = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "key")).alias("x"))
+    gone = groups.join(stays.select("group", F.col("x.key").alias("stays")), "group").filter("key <> stays").select(F.col("key").alias(key))
+    return rows.join(written(gone, "near-gone"), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,11 @@ def test_keep_one_finds_all_pairs_of_jaccard_080(spark):
     got = [r.doc_id for r in S.keep_one(docs).collect()]
     assert sorted(got) == sorted(least.values())
     assert S.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_one_row_of_repeated_ids(spark):
+    rows = [(1, "a b c d"), (1, "A b c d"), (2, "a b C d"), (None, "a b c d"), (3, "x"), (3, "x"), (None, "y"), (None, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, 0, "k") for d, t in rows], "doc_id long, text string, key int, row_key string")
+    got = S.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got.collect()) == [(0, "y"), (1, "a b c d"), (3, "x"), (7, "")]
