@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -252,11 +253,31 @@ def _regex(leaf: Missing, pattern: Any) -> Column:
     column = leaf.text()
     if column is None or not isinstance(pattern, str) or _NO_RE2.search(pattern):
         return F.lit(False)
+    pattern = java_pattern(pattern)
+    return column.isNotNull() & column.rlike(pattern) if _compiles(pattern) else F.lit(False)
+
+
+#: Names of scripts that the JVM wants to be marked as such.
+_SCRIPTS = "Arabic Armenian Bengali Cyrillic Devanagari Georgian Greek Gujarati Han Hangul Hebrew Hiragana Katakana Khmer Lao Latin Mongolian Myanmar Tamil Telugu Thai Tibetan"
+
+
+def java_pattern(pattern: str) -> str:
+    """A pattern in the JVM's spelling: named groups, scripts and bracketed classes."""
+    pattern = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
+    pattern = re.sub(r"\\([pP])\{(\^?)(%s)\}" % "|".join(_SCRIPTS.split()), lambda m: f"\\{m[1] if not m[2] else 'P' if m[1] == 'p' else 'p'}{{Is{m[3]}}}", pattern)
+    named = lambda m: f"\\{'P' if m[1] else 'p'}{{{'IsWord' if m[2] == 'word' else 'XDigit' if m[2] == 'xdigit' else m[2].upper() if m[2] == 'ascii' else m[2].capitalize()}}}"
+    pattern = re.sub(r"\[:(\^?)(alnum|alpha|ascii|blank|cntrl|digit|graph|lower|print|punct|space|upper|xdigit):\]", named, pattern)
+    return re.sub(r"\[:(\^?)word:\]", lambda m: r"\W" if m[1] else r"\w", pattern)
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether the JVM, which will match it, takes the pattern."""
+    spark = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
-    except re.error:
-        return F.lit(False)
-    return column.isNotNull() & column.rlike(pattern)
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def _elem_match(leaf: Missing, sub: Any) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -25,6 +26,8 @@ class Hooks:
     post_save: list[Step] = field(default_factory=list)
     pre_remove: list[Step] = field(default_factory=list)
     post_remove: list[Step] = field(default_factory=list)
+    pre_create: list[Step] = field(default_factory=list)
+    post_create: list[Step] = field(default_factory=list)
 
     @staticmethod
     def run(steps: list[Step], df: DataFrame) -> DataFrame:
@@ -46,6 +49,22 @@ def document_id(keys: list[str]) -> Column:
     return F.col(keys[0]).cast("string") if len(keys) == 1 else F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
 
 
+def key_is(df: DataFrame, pk: list[str], doc_id: object) -> Column:
+    """Whether a row's document id is this one.
+
+    Each part of the key is compared with a literal of its own type, which the files' statistics
+    can answer; the text of the whole then decides.
+    """
+    parts = [doc_id] if len(pk) == 1 else json.loads(str(doc_id)) if not isinstance(doc_id, list | tuple) else list(doc_id)
+    if len(parts) != len(pk):
+        return F.lit(False)
+    whole = F.lit(True)
+    for name, part in zip(pk, parts, strict=True):
+        typed = F.lit(str(part)).try_cast(df.schema[name].dataType)
+        whole = whole & (F.col(name) == typed) & (F.col(name).cast("string") == F.lit(str(part)))
+    return whole
+
+
 def revision(columns: list[str], number: Column | int = 1, rev: str = "_rev") -> Column:
     """``<n>-<hash>`` over the document without its revision."""
     body = F.to_json(F.struct(*[F.col(c) for c in sorted(columns) if c != rev]))
@@ -78,13 +97,14 @@ def last_of_each(df: DataFrame, pk: list[str], order: str | None) -> DataFrame:
 def insert(base: DataFrame, new: DataFrame, pk: list[str], hooks: Hooks | None = None) -> DataFrame:
     """All or nothing: a key that is stored or given twice, or is null, raises."""
     hooks = hooks or Hooks()
-    new = hooks.run(hooks.pre_save, hooks.run(hooks.pre_insert, new))
+    new = hooks.run(hooks.pre_save, hooks.run(hooks.pre_create, hooks.run(hooks.pre_insert, new)))
     if new.filter(" or ".join(f"`{k}` is null" for k in pk)).limit(1).count():
         raise ValidationFailed("a primary key is missing")
     if new.groupBy(*pk).count().filter("count > 1").limit(1).count() or new.join(base, pk, "left_semi").limit(1).count():
         raise AlreadyExists("a document with this key exists")
     hooks.tell(hooks.post_save, new)
     hooks.tell(hooks.post_insert, new)
+    hooks.tell(hooks.post_create, new)
     return base.unionByName(new, allowMissingColumns=True)
 
 
@@ -124,25 +144,25 @@ def deep_patch(base: DataFrame, patch: DataFrame, pk: list[str]) -> DataFrame:
 
 def modify(base: DataFrame, pk: list[str], doc_id: object, changes: dict[str, Column]) -> DataFrame:
     """Changes of one document; its key stays."""
-    hit = document_id(pk) == F.lit(str(doc_id))
+    hit = key_is(base, pk, doc_id)
     return base.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items() if c not in pk})
 
 
 def atomic_update(base: DataFrame, pk: list[str], doc_id: object, seen_rev: str, changes: dict[str, Column], rev: str = "_rev") -> DataFrame:
     """As ``modify``, if the stored revision is the one that was seen; else a conflict."""
-    stored = base.filter(document_id(pk) == F.lit(str(doc_id))).select(rev).first()
+    stored = base.filter(key_is(base, pk, doc_id)).select(rev).first()
     if stored is None:
         raise NotFound(str(doc_id))
     if stored[0] != seen_rev:
         raise Conflict(f"revision is {stored[0]}")
     out = modify(base, pk, doc_id, changes)
-    hit = document_id(pk) == F.lit(str(doc_id))
+    hit = key_is(base, pk, doc_id)
     columns = [c for c in out.columns if c != rev]
     return out.withColumn(rev, F.when(hit, revision(columns, revision_number(F.col(rev)) + 1)).otherwise(F.col(rev)))
 
 
 def remove(base: DataFrame, pk: list[str], doc_id: object) -> DataFrame:
-    hit = document_id(pk) == F.lit(str(doc_id))
+    hit = key_is(base, pk, doc_id)
     if not base.filter(hit).limit(1).count():
         raise NotFound(str(doc_id))
     return base.filter(~hit)
@@ -153,7 +173,11 @@ def bulk_remove(base: DataFrame, ids: DataFrame, pk: list[str]) -> DataFrame:
     return base.join(ids.select(pk).distinct(), pk, "left_anti")
 
 
-def populate(df: DataFrame, field_name: str, target: DataFrame, target_pk: str, prefix: str = "") -> DataFrame:
-    """Each document with the one that its field refers to, null where there is none."""
+def populate(df: DataFrame, field_name: str, target: DataFrame, target_pk: str, prefix: str | None = None) -> DataFrame:
+    """Each document with the one that its field refers to, null where there is none.
+
+    The other's fields are called by the prefix, by default the field's name and an underscore.
+    """
+    prefix = f"{field_name}_" if prefix is None else prefix
     t = target.select(*[F.col(c).alias(f"{prefix}{c}") for c in target.columns])
     return df.join(t, df[field_name] == t[f"{prefix}{target_pk}"], "left")
