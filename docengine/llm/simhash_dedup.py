@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import discard, keyed, load, ship_code, text_bytes, written
+from docengine.llm.common import discard, key_filter, keyed, load, may_hold, ship_code, text_bytes, written
 
 NAME = "op7_simhash_dedup"
 SHINGLE = 3
@@ -330,7 +330,10 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_ones(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first ``n - ceil(0.8 n) + 1`` of a set's hashes, those that are common last; sets of that similarity share one."""
+    """The first ``n - ceil(0.8 n) + l`` of a set's hashes, those that are common last, with l = max(1, n div 20).
+
+    Of what two sets of that similarity share, the first k stand among both sets' first ones, k being the lesser l.
+    """
     keys, counts = common
     n = len(hashes)
     if not n:
@@ -338,7 +341,7 @@ def _first_ones(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np
     if len(keys):
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         hashes = hashes[np.argsort(np.where(keys[at] == hashes, counts[at], 0), kind="stable")]
-    return hashes[: n - (4 * n + 4) // 5 + 1]
+    return hashes[: n - (4 * n + 4) // 5 + max(1, n // 20)]
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[bytes]]]:
@@ -365,11 +368,10 @@ def _near_rows(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordB
 
 def _hits(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """(node, i, h): of the first hashes those that other documents may have too, with their places."""
-    bits, words = shared.value
     for batch in batches:
         column = batch.column("first")
         own, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-        at = np.flatnonzero(_held(words, _slot(own, bits)))
+        at = np.flatnonzero(may_hold(shared.value, own))
         row = np.searchsorted(ends, at, side="right")
         place = at - np.concatenate([[0], ends])[row]
         columns = [batch.column("node").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array(place), pa.array(own[at])]
@@ -392,44 +394,16 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((head | own << np.uint64(14)).view(np.int64)), *batch.columns], ["fp", *batch.schema.names])
 
 
-def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _held(words: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (words[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
-
-
-def _slots_of(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        slot = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
-        yield pa.RecordBatch.from_arrays([pa.array(slot >> 5), pa.array(np.int64(1) << (slot & 31))], ["at", "bit"])
-
-
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         head = np.frombuffer(b"".join(d[:8] for d in batch.column(0).to_pylist()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(head)], ["head"])
 
 
-def _filter(keys: DataFrame):
-    """A broadcast of bits, sixteen for each key and 2^28 (32 MB) at most, with those of the keys set.
-
-    It saves work alone: an exact join follows.
-    """
-    bits = min(max((16 * keys.count()).bit_length(), 12), 28)
-    words = keys.mapInArrow(partial(_slots_of, bits=bits), "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    words = words.toArrow()
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
-    return keys.sparkSession.sparkContext.broadcast((bits, out))
-
-
 def _wholes(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
-    bits, words = wanted.value
     for batch in batches:
         for _, held, digests in _parts(batch):
-            take = np.flatnonzero(_held(words, _slot(np.frombuffer(b"".join(d[:8] for d in digests), np.int64), bits))).tolist()
+            take = np.flatnonzero(may_hold(wanted.value, np.frombuffer(b"".join(d[:8] for d in digests), np.int64))).tolist()
             if take:
                 columns = [pa.array([digests[k] for k in take], type=pa.binary()), _lists([held[k] for k in take])]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "hashes"])
@@ -470,13 +444,22 @@ def _near_groups(docs: DataFrame, wide_budget: int) -> DataFrame:
     rows = written(docs.mapInArrow(partial(_near_rows, common=common), schema), "near-rows")
     twice = rows.select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     twice = written(twice, "near-twice")
-    hits = rows.select("node", "n", "first").mapInArrow(partial(_hits, shared=_filter(twice)), "node binary, n long, i long, h long")
+    hits = rows.select("node", "n", "first").mapInArrow(partial(_hits, shared=key_filter(twice)), "node binary, n long, i long, h long")
     hits = written(hits.join(twice, "h", "left_semi").distinct(), "near-hits")
-    wanted = hits.select("node").distinct()
+    # a set has a like one only if that many of its first ones are shared; the sizes differ by a fifth at most
+    few = F.expr("greatest(1, ((4 * n + 4) div 5) div 20)")
+    for _ in range(2):  # without the nodes that go, fewer are shared
+        kept = hits.join(hits.groupBy("node", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= few), "node", "left_semi")
+        both = kept.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+        kept = written(kept.join(both, "h", "left_semi"), "near-hits")
+        discard(hits)
+        hits = kept
+    wanted = hits.groupBy("node", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= few).select("node")
+    wanted = written(wanted, "near-wanted")
     each = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "p1", "p2")])
     some = written(each.join(wanted, "node", "left_semi").withColumn("id", F.monotonically_increasing_id()), "near-some")
     found = near_candidates(some, wide_budget=wide_budget)
-    whole = docs.select("text").mapInArrow(partial(_wholes, wanted=_filter(some.select("node").mapInArrow(_heads, "head long"))), "node binary, hashes array<long>")
+    whole = docs.select("text").mapInArrow(partial(_wholes, wanted=key_filter(some.select("node").mapInArrow(_heads, "head long"))), "node binary, hashes array<long>")
     whole = whole.join(some.select("node", "id"), "node").groupBy("id").agg(F.first("hashes").alias("hashes"))
     whole = written(whole, "near-whole")
 
@@ -520,7 +503,8 @@ def near_components(docs: DataFrame, wide_budget: int = WIDE_BUDGET) -> DataFram
     """(doc_id, component_id) per row: the smallest doc_id that is reachable over links of Jaccard 0.8 or more.
 
     Sets of five-word shingles are compared; equal sets are one node. Under one order of all
-    shingles, sets of that similarity share one of their first ``n - ceil(0.8 n) + 1``; nodes that share none
+    shingles, sets of that similarity share one of their first ``n - ceil(0.8 n) + 1``, and l of
+    the first l more than that; nodes that share fewer
     with another are left out. The order puts last what is common in a sample of texts; it
     decides about the time alone. The others go through the trie
     (``near_candidates``), and a pair that it links within ``wide_budget`` of 128 bits is

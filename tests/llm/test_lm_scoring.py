@@ -55,7 +55,7 @@ def test_probabilities_of_next_tokens_add_up_to_one():
     words = [(w, c) for w, c in zip([b"a", b"b", b"c", b"d", b"e"], [50, 30, 12, 5, 1])]
     code = L.Code(words, 20, 4)
     texts = [b"a b a c".split(), b"b a d".split()] * 4
-    mixer = L.Mixer(code, L.count_tables(code, iter(texts)))
+    mixer = L.Mixer(code, L.count_tables(code, map(code.symbols, texts)))
     mixer.calibrate([code.symbols(t) for t in texts])
     head = code.symbols([b"a"] * (L.SEGMENT + 3))[:-1]
     whole = mixer.score([head])[0]
@@ -68,7 +68,7 @@ def test_score_depends_on_the_document_alone():
     code = L.Code(words, 20, 4)
     rng = np.random.default_rng(0)
     docs = [rng.integers(0, 60, n) for n in (3, 900, 40, 300)]
-    mixer = L.Mixer(code, L.count_tables(code, iter([[b"w%d" % k for k in d] for d in docs])))
+    mixer = L.Mixer(code, L.count_tables(code, iter(docs)))
     assert np.allclose(mixer.score(docs), [mixer.score([d])[0] for d in docs])
 
 
@@ -83,7 +83,45 @@ def test_slice_is_learnt_from_and_fits_the_weights_as_a_whole(spark):
     rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.5, 12) % 50)) for i in inside + outside]
     model = L.train(spark.createDataFrame(rows, "doc_id long, text string"))
     code, words = model.mixer.code, [L.tokens_of(t.encode()) for _, t in rows]
-    assert (model.mixer.tables == L.Mixer(code, L.count_tables(code, iter(words))).tables).all()
-    local = L.Mixer(code, L.count_tables(code, iter(words[len(inside) :])))
+    assert (model.mixer.tables == L.Mixer(code, L.count_tables(code, map(code.symbols, words))).tables).all()
+    local = L.Mixer(code, L.count_tables(code, map(code.symbols, words[len(inside) :])))
     local.calibrate([code.symbols(w) for w in words[: len(inside)]])
     assert np.allclose(model.mixer.weights, local.weights)
+
+
+def test_words_are_those_of_the_plain_split():
+    texts = [b"", b" One  two\tTHREE\x0b\n", b"x" * 50, "\u00c9t\u00e9 \u00a0nbsp\u2003".encode(), b"\x1c a"]
+    tokens = L.Tokens(texts)
+    plain = [(k, w) for k, t in enumerate(texts) for w in L.tokens_of(t)]
+    assert list(zip(tokens.doc.tolist(), tokens.words(np.arange(len(plain))).to_pylist(), strict=True)) == plain
+    assert len(set(tokens.hashes.tolist())) == len({w for _, w in plain})
+    same = L.Tokens([b"zz One", b"one"]).hashes
+    assert same[1] == same[2] != same[0]
+
+
+def test_repeated_texts_are_told_and_others_are_not(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 4000, n))
+    twice = text(400)
+    rows = [(k, text(300)) for k in range(200)] + [(500, twice), (501, twice)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scores(docs, L.train(docs)).collect()}
+    pair = max(got[500].bits_per_byte, got[501].bits_per_byte)
+    assert pair < 0.5 * min(got[k].bits_per_byte for k in range(200))
+    other = {r.doc_id: r.bits_per_byte for r in L.scores(docs.filter("doc_id < 20"), L.train(docs)).collect()}
+    assert all(abs(other[k] - got[k].bits_per_byte) < 1e-9 for k in range(20))
+
+
+def test_decisions_of_repeats_are_probabilities():
+    rng = np.random.default_rng(3)
+    expected = np.where(rng.random(60) < 0.7, rng.integers(0, 3, 60), -1)
+    codes = rng.integers(0, 3, 60)
+    head, _ = L.told(expected[:50], codes[:50])
+    at = int(np.flatnonzero(expected >= 0)[30])
+    before, _ = L.told(expected[:at], codes[:at])
+    outcomes = []
+    for code in (expected[at], expected[at] + 1):
+        total, hits = L.told(expected[: at + 1], np.append(codes[:at], code))
+        outcomes.append(math.exp(total - before))
+        assert hits[at] == (code == expected[at])
+    assert math.isclose(sum(outcomes), 1) and head < 0
