@@ -7,20 +7,28 @@ items. For each passage:
 
 1. *Pivot test.* The largest impacts of its terms are added up; below the
    threshold no item can reach it.
-2. *Block maxima.* Items are cut into blocks; the terms' largest impacts in each
-   block are added up, and blocks below the threshold are skipped.
-3. *Scores.* Postings of the blocks that are left give all items above.
+2. *Block maxima.* Items are cut into blocks that all postings share; the terms' largest
+   impacts in each block are added up, and blocks below the threshold are skipped.
+3. *Cursors.* In a block that is left each term has a cursor on its postings. Cursors are
+   kept in the order of their items, their bounds are the terms' maxima in the block, and the item
+   at which these reach the threshold is the pivot: cursors before it jump there, and an
+   item is scored only when all that may add to it stand on it.
 
 No top-k is cut: every item above the threshold is returned. Each hit is then
 verified: enough of the five-word shingles of the item's first half (the question)
 and of its second half (the answer) must stand in the passage.
 
-Items go to the tasks in blocks of at most ``block_items``, a bounded broadcast;
-more items make more passes over the documents. Documents are never shuffled.
+Items are indexed by classes of length: those of up to 64 words are searched for in passages
+of 128 words, those of up to 128 in passages of 256, and so on, each passage
+beginning half a passage behind the one before. So what is found of an item depends on no
+other but by the statistics of BM25. Items go to the tasks in blocks of at most ``block_items``, a
+bounded broadcast that is freed when the block is done; more items make more passes over the
+documents. Documents are never shuffled.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
 
@@ -28,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from docengine.llm.common import load, null_safe, ship_code, text_bytes, written
+from docengine.llm.common import keyed, load, ship_code, text_bytes, written
 
 NAME = "op3_decontaminate"
 K1 = 1.2
@@ -39,7 +48,7 @@ OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 16
 BLOCK_ITEMS = 20_000
-PASSAGE_WORDS = 128
+ITEM_WORDS = 64
 _PUNCTUATION = bytes(ord(" ") if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or i < 32 or i == 127 else i for i in range(256))
 
 
@@ -86,7 +95,7 @@ class Index:
         for own in words:
             middle = len(own) // 2
             self.halves.append(tuple(_shingles(x) for x in (own[:middle], own[middle:])))
-        self.longest = max(map(len, words), default=0)
+        self.key = own_terms * max(len(items), 1) + self.items
 
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """(item, score) of all items at or above the threshold, for distinct terms."""
@@ -95,10 +104,42 @@ class Index:
         open_blocks = bounds >= threshold - 1e-9
         if not open_blocks.any():
             return []
-        posts = _ranges(self.starts[terms], self.starts[terms + 1])
-        posts = posts[open_blocks[self.items[posts] // BLOCK]]
-        scores = np.bincount(self.items[posts], self.impacts[posts], minlength=len(self.ids))
-        return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= threshold - 1e-9)]
+        return [x for block in np.flatnonzero(open_blocks).tolist() for x in self._walk(terms, block, threshold - 1e-9)]
+
+    def _walk(self, terms: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
+        """(item, score) of a block's items at or above the threshold: cursors on postings, led by the pivot."""
+        n = len(self.ids)
+        lo = np.searchsorted(self.key, terms * n + block * BLOCK)
+        hi = np.searchsorted(self.key, terms * n + min((block + 1) * BLOCK, n))
+        cursors = []
+        for a, b in zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+            items, impacts = self.items[a:b].tolist(), self.impacts[a:b].tolist()
+            cursors.append([items[0], max(impacts), 0, items, impacts])
+        out = []
+        while cursors:
+            cursors.sort(key=lambda c: c[0])
+            bound, pivot = 0.0, None
+            for c in cursors:
+                bound += c[1]
+                if bound >= threshold:
+                    pivot = c[0]
+                    break
+            if pivot is None:
+                break
+            if cursors[0][0] == pivot:
+                here = [c for c in cursors if c[0] == pivot]
+                score = sum(c[4][c[2]] for c in here)
+                if score >= threshold:
+                    out.append((pivot, score))
+                to = pivot + 1
+            else:
+                to = pivot
+            for c in cursors:
+                if c[0] < to:
+                    c[2] = bisect_left(c[3], to, c[2])
+                    c[0] = c[3][c[2]] if c[2] < len(c[3]) else -1
+            cursors = [c for c in cursors if c[0] >= 0]
+        return out
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -143,14 +184,13 @@ def find(words: list[bytes], index: Index, threshold: float, overlap: float, wid
     return found
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index, threshold: float, overlap: float) -> Iterator[pa.RecordBatch]:
-    width = max(PASSAGE_WORDS, 2 * index.longest)
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, threshold: float, overlap: float, width: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch, "text"), strict=True):
             for item, (score, q, a) in find(words_of(text), index, threshold, overlap, width).items():
                 out.append((doc_id, index.ids[item], score, q, a))
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        kinds = (batch.schema.field("doc_id").type, kind, pa.float64(), pa.float64(), pa.float64())
         columns = [pa.array([r[k] for r in out], type=t) for k, t in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -168,39 +208,52 @@ def matches(
 
     Defined cases: null and empty texts hold nothing and items without words are
     held by nothing; repeated items are one item each; repeated documents give
-    repeated rows; empty tables give an empty result. Only doc_id, item_id and
-    the texts are read.
+    repeated rows; null ids are ids; empty tables give an empty result. Only doc_id, item_id and
+    the texts are read; ids may be of any type.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    items = items.mapInArrow(_with_words, "item_id long, text string, words array<string>").filter("size(words) > 0")
-    items = written(items, "benchmark-items")
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", "text")
+    kind = dict(items.dtypes)["item_id"]
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {kind}, score double, question_overlap double, answer_overlap double"
+    items = items.mapInArrow(_with_words, f"item_id {kind}, text string, words array<string>").filter("size(words) > 0")
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.size("words") / F.lit(float(ITEM_WORDS)))).cast("int"))
+    items = written(items.withColumn("class", size), "benchmark-items")
     n_items, mean = items.agg(F.count("*"), F.coalesce(F.avg(F.size("words")), F.lit(1.0))).first()
     df = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    n_blocks = max(1, -(-n_items // block_items))
+    classes = sorted((r[0], r[1]) for r in items.groupBy("class").count().collect())  # a number each
+    blocks = [(c, k, -(-n // block_items)) for c, n in classes for k in range(-(-n // block_items))]
     out = None
-    for k in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+    for c, k, n_blocks in blocks:
+        part = items.filter((F.col("class") == c) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k))
         own = [(r[0], r[1].encode()) for r in part.select("item_id", "text").collect()]  # about block_items
         mine = part.select(F.explode("words").alias("word")).distinct()
         counts = {r[0].encode(): r[1] for r in df.join(mine, "word").collect()}  # of the words of these items only
         index = spark.sparkContext.broadcast(Index(own, (n_items, mean, counts)))
 
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            return _scan(batches, index.value, threshold, overlap)
+        def scan(batches: Iterator[pa.RecordBatch], index=index, width=2 * ITEM_WORDS << c) -> Iterator[pa.RecordBatch]:
+            return _scan(batches, index.value, threshold, overlap, width, to_arrow_type(item_type))
 
+        item_type = items.schema["item_id"].dataType
         found = rows.mapInArrow(scan, schema)
+        if len(blocks) > 1:
+            found = written(found, "benchmark-matches")
+            index.destroy()
         out = found if out is None else out.unionByName(found)
-    return out
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item."""
-    held = written(matches(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(held, null_safe(docs, held, ["doc_id"]), "left_anti")
+    """The rows of ``docs`` that hold no test item, with their own columns.
+
+    Defined cases: rows are judged by their own texts, so of rows with one doc_id or
+    with a null one each goes or stays by itself; null and empty texts stay; an empty benchmark drops
+    nothing; columns of any name pass through.
+    """
+    rows, key = keyed(docs)
+    held = matches(rows.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(written(held, "contaminated"), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
