@@ -11,7 +11,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, pe
 
     Texts are taken whole, in that order, while their characters add up to at
     most ``max_chars``. Rows without a label of 0 or 1 are not used, nor is a
-    doc_id with two labels.
+    doc_id with two labels; rows with the same doc_id and text are one. Only lengths and hashes of
+    rows are looked at before the rows are chosen, so no more than these come to the driver.
     """
     rows = labels.filter(learnable & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
         F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("other")
@@ -22,15 +23,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, pe
         part = rows.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class)
         some = part if some is None else some.unionByName(part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
-    sizes = sorted((r.h, r.doc_id, r.n) for r in texts.select("h", "doc_id", F.length("text").alias("n")).collect())
+    texts = texts.withColumn("t", F.xxhash64("text"))
+    slim = texts.groupBy("h", "doc_id", "y", "t").agg(F.max(F.length("text")).alias("n"))
+    parts = [slim.filter(F.col("y") == y).orderBy("h", "doc_id", "t").limit(per_class) for y in (0, 1)]
+    sizes = sorted((r.h, r.doc_id, r.t, r.n) for r in parts[0].unionByName(parts[1]).collect())
     took, total = [], 0
-    for _, doc_id, n in sizes:
+    for _, doc_id, t, n in sizes:
         if total + n <= max_chars:
             total += n
-            took.append(doc_id)
+            took.append((doc_id, t))
     if not took:
         return []
     spark = docs.sparkSession
-    chosen = spark.createDataFrame([(i,) for i in sorted(set(took))], f"doc_id {dict(docs.dtypes)['doc_id']}")
-    found = texts.join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "y", "text").collect()
+    chosen = spark.createDataFrame(sorted(took), f"doc_id {dict(docs.dtypes)['doc_id']}, t long")
+    found = texts.join(F.broadcast(chosen), ["doc_id", "t"]).groupBy("h", "doc_id", "y", "t").agg(F.first("text").alias("text")).collect()
     return [(r.doc_id, r.y, r.text.encode()) for r in sorted(found, key=lambda r: (r.h, r.doc_id, r.text))]
