@@ -16,6 +16,7 @@ from functools import reduce
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -275,7 +276,7 @@ def _compiles(pattern: str) -> bool:
     spark = SparkSession.getActiveSession()
     try:
         spark._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

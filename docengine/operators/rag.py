@@ -12,20 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docengine.errors import QueryFailed
 from docengine.functions.mango import compile_selector
 from docengine.operators.graph import GraphQuery, edges_of, subgraph
 from docengine.operators.text import FulltextIndex, reciprocal_ranks
 from docengine.operators.vector import VectorIndex
 
+#: Fixed value: the answer where nothing is found.
 NOTHING_FOUND = "No relevant information found."
 APPEARS_IN = "APPEARS_IN"
 
 
 def simple_embedding(text: Column, dims: int = 768) -> Column:
     """Bytes over 255, padded with zeros."""
-    at = lambda i: F.conv(F.substr(F.hex(F.encode(text, "UTF-8")), 2 * i + F.lit(1), F.lit(2)), 16, 10).cast("double") / 255
-    n = F.octet_length(text)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(i < n, at(i)).otherwise(0.0))
+    pairs = F.regexp_extract_all(F.hex(F.substring(F.encode(text, "UTF-8"), 1, dims)), F.lit("(..)"), F.lit(1))
+    numbers = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("double") / 255)
+    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0.0), dims)), 1, dims)
 
 
 def simple_embed(text: str, dims: int = 768) -> list[float]:
@@ -33,6 +35,20 @@ def simple_embed(text: str, dims: int = 768) -> list[float]:
     return [b / 255 for b in data] + [0.0] * (dims - len(data))
 
 
+def extraction_prompt(text: str) -> str:
+    """Asks for the entities and relationships of a text, as JSON in the form that ``extracted_edges`` reads."""
+    form = '{"entities": [{"name": "...", "type": "...", "description": "..."}], "relationships": [{"source": "...", "target": "...", "relation": "..."}]}'
+    return f"List every entity of the text below and how they relate to each other. Answer in JSON alone, like {form}\n\nText:\n{text}\n"
+
+
+def query_entities_prompt(query: str) -> str:
+    return f'Name the main entities of the query below. Answer with a JSON array of strings alone, like ["A", "B"]\n\nQuery:\n{query}\n'
+
+
+def answer_prompt(query: str, context: str) -> str:
+    return f"Context:\n{context}\nQuestion: {query}\nAnswer:"
+
+
 class SimpleLLM:
     """Set answers for tests: the first key found in the prompt decides."""
 
@@ -52,6 +68,14 @@ def between_braces(text: str, left: str = "{", right: str = "}") -> object | Non
         return None
 
 
+def query_entities(llm: SimpleLLM, query: str) -> list[str]:
+    """The entities that a model finds in a query; an answer that holds no JSON array of strings is an error."""
+    found = between_braces(llm.complete(query_entities_prompt(query)), "[", "]")
+    if not isinstance(found, list) or not all(isinstance(x, str) for x in found):
+        raise QueryFailed("the answer holds no list of entities")
+    return found
+
+
 _EXTRACTED = "struct<entities:array<struct<name:string,type:string,description:string>>,relationships:array<struct<source:string,target:string,relation:string>>>"
 
 
@@ -75,6 +99,25 @@ class Rag:
     llm: SimpleLLM = field(default_factory=SimpleLLM)
     metric: str = "cosine"
 
+    def query_entities(self, query: str) -> list[str]:
+        """By the callable if there is one, else by the model's answer; none if that is no list."""
+        if self.entities:
+            return self.entities(query)
+        try:
+            return query_entities(self.llm, query)
+        except QueryFailed:
+            return []
+
+    def extract(self, rows: DataFrame) -> DataFrame:
+        """Edges that the model finds in documents (id, content), each asked for in its own task."""
+        llm = self.llm
+
+        @F.pandas_udf("string")
+        def ask(s: pd.Series) -> pd.Series:
+            return s.map(lambda x: llm.complete(extraction_prompt(x or "")))
+
+        return extracted_edges(rows.select("id", ask("content").alias("answer")), "id", "answer")
+
     def _kept(self, filters: dict | None) -> DataFrame:
         return self.docs.filter(compile_selector(self.docs, filters)) if filters else self.docs
 
@@ -105,7 +148,7 @@ class Rag:
         if mode == "vector":
             found = self.vector(query, k, filters)
         elif mode in ("local", "graph"):
-            names = self.entities(query) if self.entities else []
+            names = self.query_entities(query)
             found = self.local(names, k) if names and self.edges is not None else self.fulltext(query, k)
         elif mode in ("hybrid", "global"):
             found = self.hybrid(query, k, filters if mode == "hybrid" else None)
@@ -120,7 +163,7 @@ class Rag:
         if not rows:
             return NOTHING_FOUND
         context = "".join(f"[{i + 1}] {r.content}\n" for i, r in enumerate(rows))
-        return self.llm.complete(f"Context:\n{context}\nQuestion: {query}\nAnswer:") or context
+        return self.llm.complete(answer_prompt(query, context)) or context
 
     def search_graph(self, names: list[str]) -> DataFrame:
         """Edges at the entities, without where they appear."""
@@ -145,6 +188,64 @@ def retrieve_documents(index: VectorIndex, query: list[float], top_k: int = 5, m
     return index.search(query, top_k, min_score=min_score)
 
 
+@dataclass
+class Indexer:
+    """Stores documents (id, content, …) with their embeddings in a collection, in one write."""
+
+    collection: object
+    dims: int = 768
+    type: str = "documents"
+
+    def store(self, docs: DataFrame) -> DataFrame:
+        """The ids that were stored."""
+        rows = index_documents(docs, dims=self.dims)
+        self.collection.upsert(rows)
+        return rows.select("id")
+
+
+@dataclass
+class Retriever:
+    """(id, content, score, distance, …) of the documents nearest to a query."""
+
+    collection: object
+    embed: Callable[[str], list[float]] = simple_embed
+    top_k: int = 5
+    min_score: float | None = None
+    metric: str = "cosine"
+    type: str = "documents"
+
+    def retrieve(self, query: str, top_k: int | None = None, min_score: float | None = None) -> DataFrame:
+        index = VectorIndex(self.collection.df(), "id", "embedding", None, self.metric)
+        return retrieve_documents(index, self.embed(query), top_k or self.top_k, self.min_score if min_score is None else min_score)
+
+
+@dataclass
+class RagIndexer:
+    """Stores documents in a ``Rag``, with the edges that its model finds in them."""
+
+    rag: Rag
+    type: str = "rag"
+
+    def store(self, docs: DataFrame) -> Rag:
+        more = self.rag.insert(index_documents(docs, dims=len(self.rag.embed(""))) if "embedding" in self.rag.docs.columns else docs)
+        found = self.rag.extract(docs)
+        more.edges = found if self.rag.edges is None else self.rag.edges.unionByName(found).distinct()
+        return more
+
+
+@dataclass
+class RagRetriever:
+    """Documents of a ``Rag`` for a query, by its mode."""
+
+    rag: Rag
+    mode: str = "hybrid"
+    top_k: int = 5
+    type: str = "rag"
+
+    def retrieve(self, query: str, top_k: int | None = None, threshold: float | None = None) -> DataFrame:
+        return self.rag.retrieve(query, self.mode, top_k or self.top_k, threshold=threshold)
+
+
 def vector_bytes(v: Column) -> Column:
     """Little-endian 32-bit floats of a list of numbers."""
     @F.pandas_udf("binary")
@@ -162,4 +263,4 @@ def bytes_vector(b: Column) -> Column:
     return run(b)
 
 
-__all__ = ["Rag", "SimpleLLM", "between_braces", "bytes_vector", "edges_of", "extracted_edges", "index_documents", "retrieve_documents", "simple_embed", "simple_embedding", "vector_bytes"]
+__all__ = ["Indexer", "Rag", "RagIndexer", "RagRetriever", "Retriever", "SimpleLLM", "answer_prompt", "between_braces", "bytes_vector", "edges_of", "extracted_edges", "extraction_prompt", "index_documents", "query_entities", "query_entities_prompt", "retrieve_documents", "simple_embed", "simple_embedding", "vector_bytes"]

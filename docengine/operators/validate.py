@@ -136,11 +136,49 @@ def short_key(n: int) -> str:
     return out
 
 
-def compress_keys(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    names = {c: short_key(i) for i, c in enumerate(sorted(df.columns))}
-    return df.select(*[F.col(c).alias(names[c]) for c in df.columns]), names
+def field_names(kind: T.DataType) -> set[str]:
+    """The names of all fields, those of objects and of arrays of objects too."""
+    if isinstance(kind, T.StructType):
+        return {f.name for f in kind}.union(*(field_names(f.dataType) for f in kind))
+    return field_names(kind.elementType) if isinstance(kind, T.ArrayType) else set()
+
+
+def key_table(kind: T.DataType, known: dict[str, str] | None = None) -> dict[str, str]:
+    """Long to short names: known ones stay, new ones follow in their order."""
+    out = dict(known or {})
+    for name in sorted(field_names(kind) - out.keys()):
+        out[name] = short_key(len(out))
+    return out
+
+
+def _renamed(kind: T.DataType, names: dict[str, str]) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(names.get(f.name, f.name), _renamed(f.dataType, names), f.nullable) for f in kind])
+    return T.ArrayType(_renamed(kind.elementType, names), kind.containsNull) if isinstance(kind, T.ArrayType) else kind
+
+
+def _with_names(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(f"`{f.name}`").cast(_renamed(f.dataType, names)).alias(names.get(f.name, f.name)) for f in df.schema])
+
+
+def compress_keys(df: DataFrame, known: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Documents with short names on every level, and the table of names."""
+    names = key_table(df.schema, known)
+    return _with_names(df, names), names
 
 
 def expand_keys(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    back = {v: k for k, v in names.items()}
-    return df.select(*[F.col(c).alias(back.get(c, c)) for c in df.columns])
+    return _with_names(df, {v: k for k, v in names.items()})
+
+
+def _floats(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _floats(f.dataType), f.nullable) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_floats(kind.elementType), kind.containsNull)
+    return T.DoubleType() if isinstance(kind, T.IntegralType | T.FloatType) else kind
+
+
+def cloned(df: DataFrame) -> DataFrame:
+    """Documents as a deep clone gives them: every number, on any level, is a double."""
+    return df.select(*[F.col(f"`{f.name}`").cast(_floats(f.dataType)).alias(f.name) for f in df.schema])

@@ -1,8 +1,16 @@
-"""Exact vector search: distances as JVM expressions, top-k by Spark's own operators."""
+"""Vector search: distances as JVM expressions, top-k by Spark's own operators.
+
+``VectorIndex`` is exact. ``InvertedLists`` keeps vectors in files by their nearest centre and reads
+the lists of the centres nearest to a query.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +18,7 @@ from docengine.functions.mango import compile_selector
 
 METRICS = ("cosine", "l2", "dot")
 _MAX = 1.7976931348623157e308
+BLOCK_QUERIES = 4096
 
 
 def _sum(values: Column) -> Column:
@@ -45,6 +54,12 @@ def score(d: Column, metric: str = "cosine") -> Column:
     return {"cosine": 1 - d / 2, "l2": 1 / (1 + d), "dot": 1 / (1 + F.exp(d))}.get(metric, 1 - d)
 
 
+def score_to_distance(s: Column) -> Column:
+    """The distance of a score 1 / (1 + d * d): that is the score of nearest-neighbour indexes, whatever the metric."""
+    square = 1 / s - 1
+    return F.when(s > 0, F.when(square < 0, 0.0).otherwise(F.sqrt(square))).otherwise(F.lit(_MAX))
+
+
 def normalize(a: Column) -> Column:
     n = norm(a)
     return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
@@ -86,12 +101,28 @@ class VectorIndex:
     def range(self, query: list[float], max_distance: float) -> DataFrame:
         return self.search(query, max_distance=max_distance)
 
-    def batch(self, queries: DataFrame, query_id: str, query_vec: str, k: int) -> DataFrame:
-        """The k nearest for each row of a stated set of queries, which is sent to the vectors in blocks."""
-        pairs = self.df.join(F.broadcast(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_q"))))
-        near = pairs.withColumn("distance", F.round(distance(F.col(self.vec), F.col("_q"), self.metric), 12))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", self.id))
-        return near.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_q")
+    def batch(self, queries: DataFrame, query_id: str, query_vec: str, k: int, block: int = BLOCK_QUERIES) -> DataFrame:
+        """The k nearest for each row of a stated set of queries.
+
+        The queries are sent to the vectors in blocks of about ``block`` rows, so what is broadcast at a
+        time is bounded; each block keeps its k nearest before anything is shuffled.
+        """
+        rows = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_q"))
+        n = max(1, -(-rows.count() // block))
+        out = None
+        for at in range(n):
+            some = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == at) if n > 1 else rows
+            pairs = self.df.join(F.broadcast(some))
+            near = pairs.withColumn("distance", F.round(distance(F.col(self.vec), F.col("_q"), self.metric), 12))
+            rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", self.id))
+            near = near.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_q")
+            out = near if out is None else out.unionByName(near)
+        return out
+
+    def by_document(self, doc: dict, embed: Callable[[dict], list[float]], limit: int | None = None, **more) -> DataFrame:
+        """As ``search`` for a document that need not be stored; its stored vector is taken if it has one."""
+        stored = self.get(doc[self.id]) if self.id in doc else None
+        return self.search(embed(doc) if stored is None else stored, limit, **more)
 
     def by_id(self, doc_id: object, k: int) -> DataFrame:
         """Neighbours of a stored vector: the k nearest without itself, so one less."""
@@ -122,3 +153,79 @@ class VectorIndex:
 
     def count(self) -> int:
         return self.df.count()
+
+    def persist(self, path: str) -> None:
+        self.df.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, id_col: str = "id", vec_col: str = "embedding", metric: str = "cosine", partition: str | None = None) -> VectorIndex:
+        return cls(spark.read.parquet(path), id_col, vec_col, None, metric, partition)
+
+    def reindex(self, df: DataFrame) -> VectorIndex:
+        return VectorIndex(df, self.id, self.vec, None, self.metric, self.partition)
+
+
+def centres(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """Centres of a sample by Lloyd's rounds; an empty one is put on the vector farthest from its own."""
+    rng = np.random.default_rng(seed)
+    out = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)]
+    for _ in range(rounds):
+        gap = (sample**2).sum(1)[:, None] - 2 * sample @ out.T + (out**2).sum(1)
+        own = gap.argmin(1)
+        for c in range(len(out)):
+            mine = own == c
+            out[c] = sample[mine].mean(0) if mine.any() else sample[gap[np.arange(len(sample)), own].argmax()]
+    return out
+
+
+class InvertedLists:
+    """Approximate search: every vector is in the list of its nearest centre; a search reads ``probes`` lists and is exact in these.
+
+    Centres are fitted on at most ``SAMPLE`` vectors. For the cosine vectors are normalised first.
+    """
+
+    SAMPLE = 20_000
+
+    def __init__(self, spark: SparkSession, path: str, found: np.ndarray, id_col: str, vec_col: str, metric: str):
+        self.spark, self.path, self.centres, self.id, self.vec, self.metric = spark, path, found, id_col, vec_col, metric
+
+    @classmethod
+    def build(cls, index: VectorIndex, path: str, lists: int = 64) -> InvertedLists:
+        spark, vec, metric = index.df.sparkSession, index.vec, index.metric
+        n = max(index.df.count(), 1)
+        share = min(1.0, cls.SAMPLE / n)
+        some = index.df.filter(F.pmod(F.xxhash64(index.id), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(vec).limit(cls.SAMPLE)
+        sample = np.array([r[0] for r in some.collect()], dtype=float).reshape(-1, len(index.df.select(vec).first()[0]) if n else 1)
+        found = centres(_unit(sample, metric), min(lists, len(sample)))
+        out = cls(spark, path.rstrip("/"), found, index.id, vec, metric)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = np.array(batch.column(vec).to_pylist(), dtype=float).reshape(batch.num_rows, found.shape[1])
+                gap = (found**2).sum(1) - 2 * _unit(own, metric) @ found.T
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(gap.argmin(1).astype(np.int32))], [*batch.schema.names, "list"])
+
+        fields = ", ".join(f"`{c}` {k}" for c, k in index.df.dtypes)
+        rows = index.df.mapInArrow(assign, f"{fields}, list int")
+        rows.repartition("list", F.pmod(F.xxhash64(index.id), F.lit(4))).write.mode("overwrite").partitionBy("list").parquet(f"{out.path}/lists")
+        spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(found)], "list int, centre array<double>").write.mode("overwrite").parquet(f"{out.path}/centres")
+        return out
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, id_col: str = "id", vec_col: str = "embedding", metric: str = "cosine") -> InvertedLists:
+        rows = sorted(spark.read.parquet(f"{path.rstrip('/')}/centres").collect())  # as many as there are lists
+        return cls(spark, path.rstrip("/"), np.array([r.centre for r in rows]), id_col, vec_col, metric)
+
+    def search(self, query: list[float], limit: int = 10, probes: int = 8) -> DataFrame:
+        own = _unit(np.array([query], dtype=float), self.metric)[0]
+        gap = ((self.centres - own) ** 2).sum(1) if self.metric != "dot" else -(self.centres @ own)
+        near = [int(k) for k in np.argsort(gap, kind="stable")[:probes]]
+        rows = self.spark.read.parquet(f"{self.path}/lists").filter(F.col("list").isin(near)).drop("list")
+        return VectorIndex(rows, self.id, self.vec, None, self.metric).search(query, limit)
+
+
+def _unit(rows: np.ndarray, metric: str) -> np.ndarray:
+    if metric != "cosine":
+        return rows
+    size = np.sqrt((rows**2).sum(1, keepdims=True))
+    return rows / np.where(size > 0, size, 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from docengine.functions import crypto
 from docengine.operators import chunk, graph, mutate, rag, text, validate, vector
 from docengine.plans import query as q
 from docengine.plans.query import find
-from docengine.streaming import changes
+from docengine.session import shared_dir
+from docengine.sources.catalog import Database, Schema
+from docengine.streaming import changes, replication
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +69,10 @@ _SELECTORS: dict[str, tuple[dict, str]] = {
     "find_type_null": ({"brand": {"$type": "null"}}, "brand IS NULL"),
     "find_regex": ({"p_name": {"$regex": "^[a-m].*e"}}, "regexp_matches(p_name, '^[a-m].*e')"),
     "find_regex_case": ({"p_type": {"$regex": "(?i)STEEL|brass"}}, "regexp_matches(p_type, '(?i)STEEL|brass')"),
+    "find_regex_class": ({"p_name": {"$regex": r"^\p{L}+ \pL"}}, r"regexp_matches(p_name, '^\p{L}+ \pL')"),
+    "find_regex_script": ({"p_type": {"$regex": r"\p{Latin}[[:upper:]]{3}"}}, r"regexp_matches(p_type, '\p{Latin}[[:upper:]]{3}')"),
+    "find_regex_named": ({"p_type": {"$regex": "(?P<end>[A-M])[A-Za-z]$"}}, "regexp_matches(p_type, '(?P<end>[A-M])[A-Za-z]$')"),
+    "find_regex_java_only": ({"p_name": {"$regex": "a++"}}, "false"),
     "find_regex_bad": ({"p_name": {"$regex": "("}}, "false"),
     "find_mod": ({"p_partkey": {"$mod": [5, 1]}}, "p_partkey % 5 = 1"),
     "find_mod_missing": ({"size": {"$mod": [5, 0]}}, "coalesce(size, 0) % 5 = 0"),
@@ -200,7 +207,7 @@ def _deep(spark, sf):
 
 @_add("populate_customer", "SELECT o_orderkey, c_name, c_nationkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def _populate(spark, sf):
-    return mutate.populate(t(spark, sf, "orders"), "o_custkey", t(spark, sf, "customer"), "c_custkey").select("o_orderkey", "c_name", "c_nationkey")
+    return mutate.populate(t(spark, sf, "orders"), "o_custkey", t(spark, sf, "customer"), "c_custkey", "").select("o_orderkey", "c_name", "c_nationkey")
 
 
 _SCHEMA = {"required": ["brand"], "properties": {"size": {"type": "integer", "minimum": 3, "maximum": 45, "default": 7}, "p_name": {"type": "string", "minLength": 8, "maxLength": 30}, "p_type": {"type": "string", "pattern": "^[A-Z]"}, "p_brand": {"final": True}}}
@@ -328,8 +335,44 @@ raw AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (t
         FROM hit JOIN df USING (term), s GROUP BY id)"""
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, sf) -> str:
+    """The folder of a full-text index over documents, built once a session as any index is."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/docengine-fulltext-{uuid.uuid4().hex}"
+        text.StoredIndex.build(t(spark, sf, "documents"), "doc_id", "text", path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def _fts(spark, sf, **more):
-    return text.FulltextIndex(t(spark, sf, "documents"), "doc_id", "text", **more)
+    return text.StoredIndex(spark, _stored(spark, sf), **more)
+
+
+@_add("fts_postings", r"""SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY term, doc_id""")
+def _postings(spark, sf):
+    return text.FulltextIndex(t(spark, sf, "documents"), "doc_id", "text").postings().select("term", "id", "tf")
+
+
+@_add("fts_unindexed", f"WITH {_bm25(['thing', 'others'])}, k AS (SELECT id, raw FROM raw ORDER BY raw DESC, id LIMIT 10) SELECT id, round(raw / max(raw) OVER (), 6) AS score FROM k")
+def _fts_unindexed(spark, sf):
+    return text.FulltextIndex(t(spark, sf, "documents"), "doc_id", "text").search("thing others").select("id", F.round("score", 6).alias("score"))
+
+
+@_add("fts_incremental", f"WITH {_bm25(['thing', 'others'])}, k AS (SELECT id, raw FROM raw ORDER BY raw DESC, id LIMIT 10) SELECT id, round(raw / max(raw) OVER (), 6) AS score FROM k")
+def _fts_incremental(spark, sf):
+    """An index of stale and missing documents and of some that do not exist, brought up to date by changes."""
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    old = docs.filter("id % 3 <> 0").withColumn("text", F.when(F.col("id") % 3 == 1, F.concat(F.lit("thing others "), "text")).otherwise(F.col("text")))
+    extra = docs.filter("id % 5 = 0").withColumn("id", -F.col("id") - 1)
+    path = f"{shared_dir(spark)}/docengine-fulltext-{uuid.uuid4().hex}"
+    index = text.StoredIndex.build(old.unionByName(extra), "id", "text", path)
+    gone = extra.select("id", F.lit(None).cast("string").alias("text"))
+    index.refresh(docs.filter("id % 3 < 2").unionByName(gone))
+    return index.search("thing others").select("id", F.round("score", 6).alias("score"))
 
 
 @_add("fts_or", f"WITH {_bm25(['den', 'thing', 'mente'])} SELECT id FROM raw")
@@ -344,7 +387,8 @@ def _fts_scores(spark, sf):
 
 @_add("fts_filtered", f"WITH {_bm25(['den'])}, k AS (SELECT id, raw FROM raw JOIN documents ON id = doc_id WHERE lang = 'de' AND n_chars > 500 ORDER BY raw DESC, id LIMIT 20) SELECT id, round(raw / max(raw) OVER (), 6) AS score FROM k")
 def _fts_filtered(spark, sf):
-    return _fts(spark, sf).search("den", 20, selector={"lang": "de", "n_chars": {"$gt": 500}}).select("id", F.round("score", 6).alias("score"))
+    docs = t(spark, sf, "documents")
+    return _fts(spark, sf).search("den", 20, selector={"lang": "de", "n_chars": {"$gt": 500}}, df=docs, id_col="doc_id").select("id", F.round("score", 6).alias("score"))
 
 
 @_add("fts_stopwords", f"WITH {_bm25(['thing'])} SELECT id FROM raw")
@@ -440,13 +484,12 @@ def _graph_unlink(spark, sf):
     return graph.unlink(edges, edges.filter("predicate = 'IN'"))
 
 
-@_add("graph_paths", f"""WITH RECURSIVE {_EDGES}, small AS (SELECT subject, object FROM edges WHERE predicate = 'IN' OR subject LIKE 's%'),
-own AS (SELECT subject AS a, object AS b FROM small UNION SELECT object, subject FROM small),
+@_add("graph_paths", f"""WITH RECURSIVE {_EDGES},
+own AS (SELECT subject AS a, object AS b FROM edges UNION SELECT object, subject FROM edges),
 p AS (SELECT ['s1'] AS path UNION ALL SELECT list_append(path, b) FROM p JOIN own ON a = path[-1] AND NOT list_contains(path, b) AND path[-1] <> 's2' WHERE len(path) <= 4)
 SELECT array_to_string(path, '>') AS path FROM p WHERE path[-1] = 's2'""")
 def _graph_paths(spark, sf):
-    edges = _edges(spark, sf).filter("predicate = 'IN' or subject like 's%'")
-    return graph.paths(edges, "s1", "s2", 4).select(F.concat_ws(">", "path").alias("path"))
+    return graph.paths(_edges(spark, sf), "s1", "s2", 4).select(F.concat_ws(">", "path").alias("path"))
 
 
 @_add("graph_subgraph", f"""WITH {_EDGES}, n1 AS (SELECT subject AS node FROM edges WHERE object = 'r3' UNION SELECT 'r3')
@@ -506,7 +549,7 @@ def _pull(spark, sf):
 
 @_add("chunk_sentences", None)
 def _sentences(spark, sf):
-    return chunk.split_sentences(t(spark, sf, "benchmark"), "item_id", "text")
+    return chunk.split_sentences(t(spark, sf, "documents"), "doc_id", "text")
 
 
 @_add("chunk_tfidf", None)
@@ -514,12 +557,131 @@ def _chunks(spark, sf):
     return chunk.split_chunks(t(spark, sf, "documents"), "doc_id", "text")
 
 
-@_add("embed_simple", "SELECT item_id, round(ascii(text[1:1]) / 255, 6) AS first, 768::BIGINT AS n FROM benchmark WHERE ascii(text[1:1]) < 128")
+@_add("embed_simple", "SELECT doc_id, round(('0x' || hex(encode(text))[1:2])::INTEGER / 255, 6) AS first, round(('0x' || hex(encode(text))[3:4])::INTEGER / 255, 6) AS second, 768::BIGINT AS n FROM documents")
 def _embed(spark, sf):
-    e = t(spark, sf, "benchmark").select("item_id", "text", rag.simple_embedding(F.col("text")).alias("e"))
-    return e.filter(F.ascii("text") < 128).select("item_id", F.round(F.col("e")[0], 6).alias("first"), F.size("e").cast("long").alias("n"))
+    e = t(spark, sf, "documents").select("doc_id", rag.simple_embedding(F.col("text")).alias("e"))
+    return e.select("doc_id", F.round(F.col("e")[0], 6).alias("first"), F.round(F.col("e")[1], 6).alias("second"), F.size("e").cast("long").alias("n"))
 
 
-@_add("white_space_removed", "SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS text FROM benchmark")
+@_add("white_space_removed", "SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS text FROM documents")
 def _no_space(spark, sf):
-    return t(spark, sf, "benchmark").select("item_id", chunk.without_white_space(F.col("text")).alias("text"))
+    return t(spark, sf, "documents").select("doc_id", chunk.without_white_space(F.col("text")).alias("text"))
+
+
+# --- builders, names and numbers -------------------------------------------
+
+
+@_add("find_builder_logic", f"SELECT p_partkey FROM {_BASE} WHERE (coalesce(size > 40, false) OR brand = 'Brand#2') AND p_partkey % 2 = 1 AND NOT coalesce(size < 5, false)")
+def _builder_logic(spark, sf):
+    found = find(_parts(spark, sf), pk="p_partkey").any_of([{"size": {"$gt": 40}}, {"brand": "Brand#2"}])
+    return found.all_of([{"p_partkey": {"$mod": [2, 1]}}]).none_of({"size": {"$lt": 5}}).select("p_partkey")
+
+
+@_add("find_builder_more", f"SELECT p_partkey FROM {_BASE} WHERE brand IS NOT NULL AND brand NOT IN ('Brand#3') AND size IS NOT NULL")
+def _builder_more(spark, sf):
+    return find(_parts(spark, sf), pk="p_partkey").nin("brand", ["Brand#3"]).type("brand", "string").exists("size").select("p_partkey")
+
+
+@_add("to_json", """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS json FROM nation""")
+def _to_json(spark, sf):
+    return q.to_json(t(spark, sf, "nation"))
+
+
+@_add("compress_keys", "SELECT o_orderkey, o_custkey AS k, o_totalprice AS p FROM orders")
+def _compress(spark, sf):
+    nested = t(spark, sf, "orders").select("o_orderkey", F.array(F.struct(F.col("o_custkey").alias("customer"), F.struct(F.col("o_totalprice").alias("price")).alias("total"))).alias("items"))
+    short, names = validate.compress_keys(nested)
+    short = short.filter(F.col(names["items"])[0][names["customer"]].isNotNull())
+    return validate.expand_keys(short, names).select("o_orderkey", F.col("items")[0]["customer"].alias("k"), F.col("items")[0]["total"]["price"].alias("p"))
+
+
+@_add("clone_numbers", "SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS size, p_name FROM part")
+def _clone(spark, sf):
+    rows = t(spark, sf, "part").select("p_partkey", F.struct("p_size").alias("x"), "p_name")
+    return validate.cloned(rows).select("p_partkey", F.col("x.p_size").alias("size"), "p_name")
+
+
+@_add("vec_by_document", _vec_sql("cosine", tail="ORDER BY d, vec_id LIMIT 6"))
+def _by_document(spark, sf):
+    return _shown(_index(spark, sf).by_document({"vec_id": -1, "text": "unseen"}, lambda doc: _QV, 6))
+
+
+@_add("vec_score_to_distance", "SELECT vec_id, round(CASE WHEN label = 0 THEN 1.7976931348623157e308 ELSE sqrt(1 / (1 / (1 + label)) - 1) END, 6) AS distance FROM embeddings WHERE label >= 0")
+def _score_to_distance(spark, sf):
+    s = F.when(F.col("label") == 0, 0.0).otherwise(1 / (1 + F.col("label").cast("double")))
+    return t(spark, sf, "embeddings").filter("label >= 0").select("vec_id", F.round(vector.score_to_distance(s), 6).alias("distance"))
+
+
+@_add("vec_inverted_lists", _vec_sql("cosine", tail="ORDER BY d, vec_id LIMIT 10"))
+def _lists(spark, sf):
+    """All lists are probed, so the result is the exact one; fewer probes are tested for their recall."""
+    path = f"{shared_dir(spark)}/docengine-lists-{uuid.uuid4().hex}"
+    return _shown(vector.InvertedLists.build(_index(spark, sf), path, 16).search(_QV, 10, 16))
+
+
+@_add("rag_hybrid", f"""WITH {_bm25(['thing', 'others'])}, f AS (SELECT id, row_number() OVER (ORDER BY raw DESC, id) - 1 AS r FROM raw QUALIFY r < 20),
+d AS (SELECT vec_id AS id, 1 - list_cosine_similarity(e, {_QL}) AS d FROM {_E} JOIN documents ON vec_id = doc_id),
+v AS (SELECT id, row_number() OVER (ORDER BY round(d, 12), id) - 1 AS r FROM d QUALIFY r < 20)
+SELECT id, round(sum(1 / (r + 60)), 6) AS score FROM (SELECT * FROM f UNION ALL SELECT * FROM v) GROUP BY id ORDER BY round(sum(1 / (r + 60)), 12) DESC, id LIMIT 10""")
+def _rag_hybrid(spark, sf):
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    docs = docs.join(_index(spark, sf).df.select(F.col("vec_id").alias("id"), F.col("e").alias("embedding")), "id", "left")
+    return rag.Rag(docs, embed=lambda _: _QV).hybrid("thing others", 10).select("id", F.round("score", 6).alias("score"))
+
+
+# --- collections and replication -------------------------------------------
+
+
+def _orders(spark, sf, **more):
+    """A collection of orders in a new database of the shared folder."""
+    db = Database(spark, f"docengine-db-{uuid.uuid4().hex}", shared_dir(spark))
+    own = db.collection("orders", Schema(pk=["o_orderkey"], **more))
+    own.insert(t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    return own
+
+
+@_add("point_get", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7")
+def _point_get(spark, sf):
+    return _orders(spark, sf).lookup("7").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@_add("index_scan", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 10")
+def _index_scan(spark, sf):
+    own = _orders(spark, sf, indexes={"by_customer": ["o_custkey"]})
+    return own.find({"o_custkey": 10}).select("o_orderkey", "o_custkey")
+
+
+@_add("index_diff", "SELECT * FROM (VALUES ('by_customer', 'o_custkey,o_totalprice'), ('by_status', 'o_orderstatus')) AS v(name, fields)")
+def _index_diff(spark, sf):
+    own = _orders(spark, sf, indexes={"by_customer": ["o_custkey"], "by_price": ["o_totalprice"]})
+    wanted = {"by_customer": ["o_custkey", "o_totalprice"], "by_status": ["o_orderstatus"]}
+    again = Database(spark, own.db.name, shared_dir(spark), multi_instance=True).collection("orders", Schema(pk=["o_orderkey"], indexes=wanted))
+    return spark.createDataFrame([(n, ",".join(f)) for n, f in again.list_indexes().items()], "name string, fields string")
+
+
+@_add("changes_of_write", """SELECT o_orderkey::VARCHAR AS id, 1::BIGINT AS seq, 'insert' AS op FROM orders
+UNION ALL SELECT o_orderkey::VARCHAR, 2, 'update' FROM orders WHERE o_orderkey % 10 = 3 UNION ALL SELECT o_orderkey::VARCHAR, 3, 'delete' FROM orders WHERE o_orderkey % 10 = 4""")
+def _changes_of_write(spark, sf):
+    own = _orders(spark, sf, feed=True)
+    rows = own.df().drop("_rev").filter("o_orderkey % 10 = 3")
+    own.upsert(rows.withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    own.bulk_remove(own.df().filter("o_orderkey % 10 = 4").select("o_orderkey"))
+    return own.changes().select("id", "seq", "op")
+
+
+@_add("realtime_applied", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 1 THEN 'R' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 7 <> 2 OR o_orderkey % 11 = 0")
+def _realtime(spark, sf):
+    own = _orders(spark, sf)
+    rows = t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.lit("R").alias("o_orderstatus"), "o_totalprice")
+    new = F.to_json(F.struct("*"))
+    update = rows.filter("o_orderkey % 7 = 1").select(F.concat(F.lit('{"event":"postgres_changes","payload":{"eventType":"UPDATE","new":'), new, F.lit("}}")).alias("value"), F.lit(1).alias("seq"))
+    key = F.concat(F.lit('{"eventType":"DELETE","old":{"o_orderkey":'), F.col("o_orderkey").cast("string"), F.lit("}}"))
+    delete = rows.filter("o_orderkey % 7 = 2 and o_orderkey % 11 <> 0").select(key.alias("value"), F.lit(2).alias("seq"))
+    own.apply(replication.realtime_changes(update.unionByName(delete), "o_orderkey"))
+    return own.df().select("o_orderkey", "o_orderstatus")
+
+
+@_add("retries_due", "SELECT event_id::VARCHAR AS id FROM events WHERE event_id % 13 < 10 AND epoch(ts) + (event_id % 13 + 1) * 5 <= epoch(TIMESTAMP '2024-01-02 00:00:00')")
+def _retries(spark, sf):
+    queue = t(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("created"), (F.col("event_id") % 13).alias("retries"))
+    return changes.due_retries(queue, F.to_timestamp(F.lit("2024-01-02 00:00:00"))).select("id")

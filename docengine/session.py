@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,18 +11,23 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docengine.errors import IoFailed
+
 _PACKAGE = Path(__file__).resolve().parent
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in
-    local tests, a temporary folder is made and set for this session.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and all runs in
+    one process, as in local tests, a temporary folder is made and set for this session; on
+    a cluster that is an error, as executors would each write to their own disk.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise IoFailed("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docengine-")
         context.setCheckpointDir(found)
     return found.rstrip("/")

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +66,8 @@ class Store:
             return False
         try:
             out = self._fs.create(path, False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception):
+        except (Py4JJavaError, PySparkException) as e:
+            if "FileAlreadyExists" in str(e):
                 return False
             raise
         out.write(bytearray(f"{text}\n".encode()))
@@ -303,6 +304,13 @@ class Collection:
             rows = df.withColumn("_id", mutate.document_id(self.schema.pk))
             self._save(rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").drop("_id"))
 
+    def exists_any(self) -> bool:
+        return self._stored()
+
+    def replace(self, rows: DataFrame) -> None:
+        """All documents at once, made from the snapshot that was read last."""
+        self._save(rows)
+
     def export_json(self, path: str | None = None) -> DataFrame:
         rows = self.all().select(F.to_json(F.struct("*")).alias("value"))
         if path:

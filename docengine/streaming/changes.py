@@ -115,8 +115,8 @@ def pull(remote: DataFrame, since: object | None, stamp: str = "updated_at") ->
 
 def due_retries(queue: DataFrame, now: Column, interval: int = 5, most: int = 10) -> DataFrame:
     """Failed pushes whose time has come; those tried ``most`` times are dropped."""
-    due = F.col("created").cast("double") + (F.col("retries") + 1) * interval
-    return queue.filter((F.col("retries") < most) & (due <= now.cast("double")))
+    due = F.col("created").cast("timestamp").cast("double") + (F.col("retries") + 1) * interval
+    return queue.filter((F.col("retries") < most) & (due <= now.cast("timestamp").cast("double")))
 
 
 def in_order(changes: DataFrame) -> DataFrame:
