@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docengine.errors import IoFailed
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PACKAGE = Path(__file__).resolve().parent
 
 
@@ -37,13 +38,19 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The lineage ends at the files, so a lost executor costs a re-read, never a
-    recomputation of what came before. The schema is passed on, which saves the
+    recomputation of what came before. Spark drops the write's own shuffle files when it is
+    done, rather than at some later garbage collection. The schema is passed on, which saves the
     inference job and keeps an empty result readable.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docengine-{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
