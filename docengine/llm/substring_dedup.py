@@ -17,9 +17,9 @@ dropped from the next round. The rounds are
 Ranks are names rather than dense numbers: a rank by sorting costs a shuffle of
 one row per byte and round, over sixteen times the input a round, where names
 cost none and let unique places go at once. Regions of one gram are told apart by the
-64 bits of their own digest, windows in round 3 by 96 bits; no bytes are compared
-after that. Of k regions of one gram, k * k / 2^65 pairs are expected to be taken for
-each other: 7e-7 among 5 million. A place is one integer: the document's number, then the byte.
+128 bits of their own digest beside the gram's 64, windows in round 3 by 96 bits; no bytes are
+compared after that. Of k regions of one gram, k * k / 2^129 pairs are expected to be taken for
+each other, even if all their grams were one. A place is one integer: the document's number, then the byte.
 
 Skew: counts and earliest places are pre-aggregated. What is joined back is joined
 from written tables, so a hot gram is a skewed join that Spark splits. Only a
@@ -28,9 +28,7 @@ document's own spans are gathered in one row.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 from functools import partial
 
@@ -90,11 +88,11 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16())
 
     def out(held: list) -> pa.RecordBatch:
         columns = [pa.array(np.concatenate(x), type=t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["g", "r", "place", "n"])
+        return pa.RecordBatch.from_arrays(columns, ["g", "r", "q", "place", "n"])
 
     for batch in batches:
         held, n = [], 0
@@ -103,9 +101,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits
             for at in range(0, max(len(text) - length + 1, 0), PIECE):  # windows of a piece, with what they reach into
                 g, lo, hi = anchors(data[at : at + PIECE + length - 1], length, gram)
                 lo, hi = lo + at, hi + at
-                digest = xxhash.xxh3_64_intdigest
-                r = [digest(text[i : j + length]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
-                held.append((g, np.array(r, dtype=np.uint64).view(np.int64), (doc << bits) + lo, hi - lo))
+                digest = xxhash.xxh3_128_digest
+                r = b"".join([digest(text[i : j + length]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)])
+                r = np.frombuffer(r, np.int64).reshape(-1, 2)
+                held.append((g, r[:, 0], r[:, 1], (doc << bits) + lo, hi - lo))
                 n += len(g)
                 if n > 200_000:
                     yield out(held)
@@ -201,14 +200,6 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Ite
         yield pa.RecordBatch.from_arrays(columns[: 6 if with_text else 5], names_[: 6 if with_text else 5])
 
 
-def _freed(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now rather than at some later collection."""
-    for _ in range(2):  # what Python lets go of in the first round, the JVM finds in the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept.
 
@@ -244,27 +235,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         return doc(place).alias("doc"), F.lit(kind).alias("kind"), byte(place).alias("a"), (byte(place) + n).alias("b")
 
     run = partial(_anchor_rows, length=length, gram=gram, bits=bits)
-    rows = written(plain.mapInArrow(run, "g long, r long, place long, n short"), "substring-anchors")
+    rows = written(plain.mapInArrow(run, "g long, r long, q long, place long, n short"), "substring-anchors")
     twice = written(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "substring-grams")
     same = written(rows.join(twice, "g", "left_semi"), "substring-same")
     discard(rows)
-    del rows
-    _freed(spark)
-    firsts = same.groupBy("g", "r").agg(F.min("place").alias("first"), F.max("n").alias("width"))
+    firsts = same.groupBy("g", "r", "q").agg(F.min("place").alias("first"), F.max("n").alias("width"))
     firsts = written(firsts, "substring-firsts")
     several = written(firsts.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "substring-several")
     reps = written(firsts.join(several, "g", "left_semi").select(*span(1, "first", F.col("width"))), "substring-reps")
-    later = same.join(firsts.drop("width"), ["g", "r"]).filter("place > first").select(*span(0, "place", F.col("n")))
+    later = same.join(firsts.drop("width"), ["g", "r", "q"]).filter("place > first").select(*span(0, "place", F.col("n")))
     later = written(later, "substring-later")
     discard(same)
     discard(firsts)
-    del same, firsts
-    _freed(spark)
     own = reps.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     windows = plain.join(own, "doc").mapInArrow(partial(_window_rows, length=length, bits=bits), "w long, v int, place long")
     earliest = written(windows.groupBy("w", "v").agg(F.min("place").alias("place")).select("place"), "substring-earliest")
-    del windows, own
-    _freed(spark)
     spans = later.unionByName(reps).unionByName(earliest.select(*span(2, "place", F.lit(0))))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "b")).alias("spans"))
     kept = ", kept binary" if with_text else ""
