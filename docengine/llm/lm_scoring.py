@@ -12,7 +12,7 @@ predicted by several bit predictors and mixed; below, the tree's own shares hold
 * Refinement: after 8, 16, 32, 64 and 128 tokens, then after each segment of ``SEGMENT``
   tokens of a document, its weights and its own shares are adapted to what was seen. Each document
   starts anew from the fitted weights, so a score depends on the document and the model alone.
-* Repeats: of all runs of ``RUN`` words in the training texts one in ``SPACING``, chosen by its
+* Repeats: of all runs of ``RUN`` words (so long that frequent words seldom make one by chance) in the training texts one in ``SPACING``, chosen by its
   hash, is an anchor, whose continuation the model keeps. Where a text has an anchor that a training
   text has elsewhere (itself left out), the next token first costs one decision, whether it is
   the one that followed there. That is a mix, too, of the run's success so far, the last
@@ -66,7 +66,7 @@ SEGMENT = 128
 SLICE = 50
 ROUNDS = 4
 RATE = 0.02
-RUN = 4
+RUN = 8
 SPACING = 16
 LONGEST = 64
 DOCS_AT_ONCE = 300
@@ -334,8 +334,9 @@ class Mixer:
             for k, x in enumerate(inputs):
                 z += w[:, k] * x
             sign = np.where(bit, 1.0, -1.0)
-            total[:active] += np.bincount(doc, -np.log1p(np.exp(np.clip(-sign * z, -40, 40))), minlength=active)[:active]
-            error = bit - 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            rest = np.exp(-np.abs(z))
+            total[:active] -= np.bincount(doc, np.log1p(rest) + np.maximum(-sign * z, 0), minlength=active)[:active]
+            error = bit - np.where(z >= 0, 1, rest) / (1 + rest)
             count = np.bincount(group, minlength=active * _GATES)
             scale = RATE / np.sqrt(np.maximum(count, 1))
             flat = weights.reshape(-1, _INPUTS)
