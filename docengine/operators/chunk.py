@@ -44,14 +44,16 @@ def similarities(parts: list[str]) -> list[float]:
     """TF-IDF cosine of each sentence with the next: tf = count / length, idf = ln((1 + N) / (1 + df)) + 1."""
     counts = [Counter(_words(p)) for p in parts]
     df = Counter(w for c in counts for w in c)
-    vectors = []
-    for c in counts:
-        n = sum(c.values())
-        vectors.append({w: k / n * (math.log((1 + len(parts)) / (1 + df[w])) + 1) for w, k in c.items()})
+    by_df = {d: math.log((1 + len(parts)) / (1 + d)) + 1 for d in set(df.values())}
+    idf = {w: by_df[d] for w, d in df.items()}
+    # a sentence's length scales its whole vector, so it does not matter to the cosine
+    vectors = [{w: k * idf[w] for w, k in c.items()} for c in counts]
+    sizes = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
     out = []
-    for a, b in zip(vectors, vectors[1:], strict=False):
-        size = math.sqrt(sum(x * x for x in a.values())) * math.sqrt(sum(x * x for x in b.values()))
-        out.append(sum(x * b.get(w, 0.0) for w, x in a.items()) / size if size else 0.0)
+    for k in range(len(vectors) - 1):
+        a, b = sorted(vectors[k : k + 2], key=len)
+        size = sizes[k] * sizes[k + 1]
+        out.append(sum(x * b[w] for w, x in a.items() if w in b) / size if size else 0.0)
     return out
 
 
