@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import keyed, load, null_safe, written
+from docengine.llm.common import discard, keyed, load, null_safe, written
 
 NAME = "op6_exact_dedup"
 BLOCK_CHARS = 4096
@@ -64,8 +64,9 @@ def identities(docs: DataFrame, slim: DataFrame, block_chars: int = BLOCK_CHARS)
     if longest is None:
         return None
     names = _named(rows.select("block"), ["block"], "dedup-names")
-    rows = rows.join(names, "block").select(*_UNIT, "n_blocks", "i", "name")
-    rows = written(rows, "dedup-level-0")
+    named = written(rows.join(names, "block").select(*_UNIT, "n_blocks", "i", "name"), "dedup-level-0")
+    discard(rows)
+    rows = named
     done = []
     for level in range(math.ceil(math.log2(longest)) + 1):
         done.append(rows.filter("n_blocks = 1").select(*_UNIT, F.lit(level).alias("level"), "name").distinct())
@@ -80,6 +81,7 @@ def identities(docs: DataFrame, slim: DataFrame, block_chars: int = BLOCK_CHARS)
             )
         )
         pairs = written(pairs, "dedup-pairs")
+        discard(names)
         names = _named(pairs.select("left", "right"), ["left", "right"], "dedup-names")
         rows = pairs.join(names, ["left", "right"]).select(
             *_UNIT, F.ceil(F.col("n_blocks") / 2).cast("int").alias("n_blocks"), F.col("at").alias("i"), "name"

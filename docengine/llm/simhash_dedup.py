@@ -266,8 +266,11 @@ def components(links: DataFrame) -> DataFrame:
         jumped = lower.join(up, lower["label"] == up["at"]).select("node", F.least("label", "up").alias("label"), "old")
         jumped = written(jumped, "cc-labels")
         changed = jumped.filter("label <> old").limit(1).count()
+        for done in (near, lower, labels):
+            discard(done)
         labels = jumped.select("node", "label")
         if not changed:
+            discard(edges)
             return labels
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import load, ship_code
+from docengine.llm.common import load, ship_code, written
 
 NAME = "op8_url_filter"
 BLOCK_RULES = 100_000
@@ -54,21 +54,28 @@ def key_of(host: str) -> str:
     return "".join(f"{label}." for label in reversed(host.split(".")))
 
 
-def sweep(keys: list[str], paths: list[str], rules: list[tuple[str, str, str]]) -> list[tuple[str, str] | None]:
+class Rules:
+    """Rules by the keys of their hosts, in the order of these."""
+
+    def __init__(self, rules: list[tuple[str, str, str]]):
+        self.of: dict[str, list[tuple[str, str, str]]] = {}
+        for action, host, path in rules:
+            self.of.setdefault(key_of(host), []).append((path, host + path, action))
+        self.starts = sorted(self.of)
+
+
+def sweep(keys: list[str], paths: list[str], rules: Rules) -> list[tuple[str, str] | None]:
     """For each url the longest fitting (rule, action), by one sorted pass."""
-    by_key: dict[str, list[tuple[str, str, str]]] = {}
-    for action, host, path in rules:
-        by_key.setdefault(key_of(host), []).append((path, host + path, action))
-    starts = sorted(by_key)
     out: list[tuple[str, str] | None] = [None] * len(keys)
     stack: list[tuple[str, list[tuple[str, str, str]]]] = []
     at = 0
     for i in sorted(range(len(keys)), key=keys.__getitem__):
         key = keys[i]
-        while at < len(starts) and starts[at] <= key:
-            while stack and not starts[at].startswith(stack[-1][0]):
+        while at < len(rules.starts) and rules.starts[at] <= key:
+            start = rules.starts[at]
+            while stack and not start.startswith(stack[-1][0]):
                 stack.pop()
-            stack.append((starts[at], by_key[starts[at]]))
+            stack.append((start, rules.of[start]))
             at += 1
         while stack and not key.startswith(stack[-1][0]):
             stack.pop()
@@ -81,11 +88,11 @@ def sweep(keys: list[str], paths: list[str], rules: list[tuple[str, str, str]])
     return out
 
 
-def _judge(batches: Iterator[pa.RecordBatch], rules: list[tuple[str, str, str]]) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], rules) -> Iterator[pa.RecordBatch]:
     kind = pa.struct([("rule", pa.string()), ("verdict", pa.string())])
     for batch in batches:
         hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-        best = sweep([key_of(x) for x in hosts], paths, rules)
+        best = sweep([key_of(x) for x in hosts], paths, rules.value)
         known = pa.array([x and {"rule": x[0], "verdict": x[1]} for x in best], type=kind)
         columns = [known if name == "_new" else batch.column(name) for name in [*batch.schema.names, "_new"]]
         yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_new"])
@@ -106,7 +113,8 @@ def filter_urls(
     spark = urls.sparkSession
     ship_code(spark)
     if isinstance(rules, list):
-        blocks = [rules[i : i + block_rules] for i in range(0, len(rules), block_rules)]
+        n = -(-len(rules) // block_rules)
+        blocks = (rules[i * block_rules : (i + 1) * block_rules] for i in range(n))
     else:
         n = -(-rules.count() // block_rules)
         part = F.pmod(F.xxhash64("host", "path"), F.lit(max(n, 1)))
@@ -117,10 +125,14 @@ def filter_urls(
     best = F.lit(None).cast("struct<rule:string,verdict:string>")
     for block in blocks:
         fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-        rows = rows.mapInArrow(partial(_judge, rules=block), f"{fields}, _new struct<rule:string,verdict:string>")
+        shared = spark.sparkContext.broadcast(Rules(block))
+        rows = rows.mapInArrow(partial(_judge, rules=shared), f"{fields}, _new struct<rule:string,verdict:string>")
         old = F.col("_best") if "_best" in rows.columns else best
         longer = old.isNull() | (F.struct(F.length("_new.rule"), "_new.rule", "_new.verdict") > F.struct(F.length(old["rule"]), old["rule"], old["verdict"]))
         rows = rows.withColumn("_best", F.when(F.col("_new").isNotNull() & longer, F.col("_new")).otherwise(old)).drop("_new")
+        if n > 1:  # one block of rules is held at a time
+            rows = written(rows, "url-rules")
+            shared.destroy()
     if "_best" in rows.columns:
         best = F.col("_best")
     return rows.select(
