@@ -223,7 +223,7 @@ class Code:
 
 
 def _contexts(code: Code, symbols: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the last one, two and three symbols; ``first`` is the place of each symbol in its document."""
+    """Hashes of the last one and two symbols; ``first`` is the place of each symbol in its document."""
     own = code.hash[symbols]
     out, mixed = [], np.zeros(len(symbols), np.uint32)
     for k in range(1, ORDERS + 1):

@@ -125,3 +125,63 @@ def test_decisions_of_repeats_are_probabilities():
         outcomes.append(math.exp(total - before))
         assert hits[at] == (code == expected[at])
     assert math.isclose(sum(outcomes), 1) and head < 0
+
+
+def plain_score(mixer, symbols):
+    """One document, token by token and decision by decision."""
+    code, mask = mixer.code, 2**32 - 1
+    names = [int(x) for x in code.hash]
+
+    def slot(context, node):
+        x = (context + node * 0xC2B2AE35) & mask
+        x ^= x >> 15
+        return ((x * 0x2C1B3C6D) & mask) >> (32 - L.TABLE_BITS)
+
+    weights = mixer.weights.copy()
+    seen, ones, total, at = {}, {}, 0.0, 0
+    while at < len(symbols):
+        end = min([int(e) for e in L._EARLY if e > at] or [(at // L.SEGMENT + 1) * L.SEGMENT])
+        steps, change, counts, told = [], np.zeros_like(weights), {}, []
+        for k in range(at, min(end, len(symbols))):
+            s = int(symbols[k])
+            contexts, mixed = [], 0
+            for order in range(1, L.ORDERS + 1):
+                before = names[int(symbols[k - order])] if k >= order else names[-1]
+                mixed = ((mixed * 0x9E3779B1) & mask) ^ before
+                mixed ^= mixed >> 15
+                contexts.append((mixed * 0x85EBCA6B + order) & mask)
+            total += code.rest[s]
+            for d in range(int(code.length[s])):
+                node, bit = int(code.nodes[s, d]), int(code.bits[s, d])
+                x, gate = [code.static[node]], 0
+                for order, c in enumerate(contexts):
+                    found = int(mixer.tables[order][slot(c, node)])
+                    gate = gate * 4 + (found & 3)
+                    x.append((found >> 2) / 256)
+                p = 1 / (1 + math.exp(-code.static[node]))
+                n, n1 = seen.get(node, 0), ones.get(node, 0)
+                x += [math.log((n1 + 4 * p) / (n - n1 + 4 * (1 - p))) if n else 0.0, 1.0]
+                z = sum(w * v for w, v in zip(weights[gate], x, strict=True))
+                q = 1 / (1 + math.exp(-z))
+                total += math.log(q if bit else 1 - q)
+                steps.append((gate, bit - q, x))
+                counts[gate] = counts.get(gate, 0) + 1
+                told.append((node, bit))
+        for gate, error, x in steps:
+            change[gate] += L.RATE / math.sqrt(counts[gate]) * error * np.array(x)
+        weights += change
+        for node, bit in told:
+            seen[node], ones[node] = seen.get(node, 0) + 1, ones.get(node, 0) + bit
+        at = end
+    return total
+
+
+def test_scores_equal_a_plain_mixer():
+    rng = np.random.default_rng(12)
+    words = [(b"w%d" % k, int(4000 / (k + 1)) + 2) for k in range(3000)]
+    code = L.Code(words, 40, 90)
+    docs = [np.append(rng.zipf(1.3, n) % 3001, code.end) for n in (0, 1, 9, 130, 300)]
+    docs = [np.where(d == 3000, code.escape, d) for d in docs]
+    mixer = L.Mixer(code, L.count_tables(code, iter(docs * 2)))
+    mixer.calibrate(docs)
+    assert np.allclose(mixer.score(docs), [plain_score(mixer, d) for d in docs], rtol=1e-6)
