@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docengine.errors import IoFailed
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings that hold while a table is written: the write's own shuffle files go when it ends, and
+#: rows go to Python in batches that stay small where a row is a long text.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 _PACKAGE = Path(__file__).resolve().parent
 
 
@@ -45,12 +50,14 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docengine-{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    before = {name: spark.conf.get(name) for name in _WHILE_WRITING}
     try:
+        for name, value in _WHILE_WRITING.items():
+            spark.conf.set(name, value)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
