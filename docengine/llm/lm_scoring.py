@@ -67,13 +67,14 @@ SLICE = 50
 ROUNDS = 4
 RATE = 0.02
 RUN = 8
-SPACING = 16
-LONGEST = 64
+SPACING = 32
+LONGEST = 128
 DOCS_AT_ONCE = 300
 BYTES_AT_ONCE = 1 << 20
 SYMBOLS_AT_ONCE = 100_000
 _EARLY = np.array([8, 16, 32, 64, 128])
 _INPUTS = ORDERS + 3
+_UPPER_BITS = 17
 _GATES = 16
 _LN10 = math.log(10)
 _SPACE = np.zeros(256, bool)
@@ -163,6 +164,9 @@ class Code:
         own = Tokens([w for w, _ in words]).hashes
         order = np.argsort(own)
         self.names, self.rank = own[order], order
+        # where the words begin whose hashes have the same upper bits
+        self.first = np.searchsorted(self.names, np.arange(1 << _UPPER_BITS, dtype=np.uint64) << np.uint64(64 - _UPPER_BITS))
+        self.first = np.append(self.first, len(own)).astype(np.int32)
         self.end, self.escape = len(words), len(words) + 1
         counts = np.array([c for _, c in words] + [max(n_docs, 1), escapes + 1], dtype=float)
         self.counts = np.array([c for _, c in words] + [n_docs, 0], dtype=float)
@@ -207,16 +211,24 @@ class Code:
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         """The symbol of each word; from ``escape + 1`` on an integer that stands for the escaped word itself."""
-        other = (self.escape + 1 + (hashes >> np.uint64(33))).astype(np.int64)
-        if not len(self.names):
-            return other
-        at = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
-        return np.where(self.names[at] == hashes, self.rank[at], other)
+        out = (self.escape + 1 + (hashes >> np.uint64(33))).astype(np.int64)
+        upper = (hashes >> np.uint64(64 - _UPPER_BITS)).astype(np.int64)
+        at, end = self.first[upper], self.first[upper + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            same = self.names[at] == hashes[left]
+            out[left[same]] = self.rank[at[same]]
+            at += 1
+            more = ~same & (at < end)
+            left, at, end = left[more], at[more], end[more]
+        return out
 
-    def documents(self, tokens: Tokens) -> list[np.ndarray]:
+    def documents(self, tokens: Tokens, codes: np.ndarray | None = None) -> list[np.ndarray]:
         """The codes of each document, with its end."""
         ends = np.searchsorted(tokens.doc, np.arange(tokens.n_docs), side="right")
-        return np.split(np.insert(self.codes(tokens.hashes), ends, self.end), (ends + np.arange(1, tokens.n_docs + 1))[:-1])
+        codes = self.codes(tokens.hashes) if codes is None else codes
+        return np.split(np.insert(codes, ends, self.end), (ends + np.arange(1, tokens.n_docs + 1))[:-1])
 
     def symbols(self, words: list[bytes]) -> np.ndarray:
         return np.minimum(self.documents(Tokens([b" ".join(words)]))[0], self.escape)
@@ -260,9 +272,7 @@ def count_tables(code: Code, docs: Iterator[np.ndarray]) -> np.ndarray:
         first = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         which, node, bit = _bits(code, symbols)
         for k, context in enumerate(_contexts(code, symbols, first)):
-            found = np.bincount(_slots(context[which], node).astype(np.int64) * 2 + bit, minlength=2 << TABLE_BITS).reshape(-1, 2)
-            out[k, :, 0] += found.sum(axis=1).astype(np.uint32)
-            out[k, :, 1] += found[:, 1].astype(np.uint32)
+            np.add.at(out[k].reshape(-1), _slots(context[which], node).astype(np.int64) * 2 + bit, np.uint32(1))
 
     for symbols in docs:
         held.append(symbols)
@@ -272,6 +282,7 @@ def count_tables(code: Code, docs: Iterator[np.ndarray]) -> np.ndarray:
             held, n = [], 0
     if held:
         flush()
+    out[:, :, 0] += out[:, :, 1]  # from then on the first number is of all
     return out
 
 
@@ -300,7 +311,7 @@ class Mixer:
         contexts = _contexts(code, symbols, first)
         counted = np.ones(len(symbols), bool) if paid is None else np.concatenate([paid[k] for k in order])
         total = np.bincount(owner, code.rest[symbols] * counted, minlength=len(docs))
-        weights = np.tile(self.weights, (len(docs), 1, 1))
+        weights = np.tile(self.weights.T, (1, len(docs)))  # a row for each input, a place for each document and gate
         seen = np.zeros((len(docs), 1 << DEPTH), np.float32)
         ones = np.zeros((len(docs), 1 << DEPTH), np.float32)
         static = code.static
@@ -323,29 +334,27 @@ class Mixer:
                 found = self.tables[k][_slots(contexts[k][rows][which], node)]
                 if k in (0, 1):
                     gate = gate * 4 + (found & 3)
-                inputs.append((found >> 2) * (1 / 256))
+                inputs.append(np.multiply(found >> 2, 1 / 256, dtype=np.float64))
             place = doc * (1 << DEPTH) + node
             n, n1 = seen.reshape(-1)[place], ones.reshape(-1)[place]
             p = share[node]
             inputs.append(np.log((n1 + 4 * p) / (n - n1 + 4 * (1 - p))) * (n > 0))
             group = doc * _GATES + gate
-            w = weights.reshape(-1, _INPUTS)[group]
-            z = w[:, _INPUTS - 1].copy()
+            z = weights[-1][group]
             for k, x in enumerate(inputs):
-                z += w[:, k] * x
+                z += weights[k][group] * x
             sign = np.where(bit, 1.0, -1.0)
             rest = np.exp(-np.abs(z))
             total[:active] -= np.bincount(doc, np.log1p(rest) + np.maximum(-sign * z, 0), minlength=active)[:active]
             error = bit - np.where(z >= 0, 1, rest) / (1 + rest)
             count = np.bincount(group, minlength=active * _GATES)
             scale = RATE / np.sqrt(np.maximum(count, 1))
-            flat = weights.reshape(-1, _INPUTS)
             for k, x in enumerate([*inputs, 1.0]):
-                flat[: active * _GATES, k] += scale * np.bincount(group, error * x, minlength=active * _GATES)
+                weights[k, : active * _GATES] += scale * np.bincount(group, error * x, minlength=active * _GATES)
             seen.reshape(-1)[: active << DEPTH] += np.bincount(place, minlength=active << DEPTH)
             ones.reshape(-1)[: active << DEPTH] += np.bincount(place, bit, minlength=active << DEPTH)
         if keep is not None:
-            keep += weights.mean(axis=0) * 1.0
+            keep += weights.reshape(_INPUTS, len(docs), _GATES).mean(axis=1).T
         out = np.empty(len(docs))
         out[order] = total
         return out
@@ -611,15 +620,15 @@ _ROW_SQL = "row long, n_bytes long, n_tokens long, n_known long, base double, mi
 def score_rows(mixer: Mixer, spelled: np.ndarray, tokens: Tokens, found: list[list[dict] | None]) -> list[pa.Array]:
     """What the documents' own task can tell: all but the counts of their rare words."""
     code, n_docs = mixer.code, tokens.n_docs
-    docs = code.documents(tokens)
+    codes = code.codes(tokens.hashes)
+    docs = code.documents(tokens, codes)
     paid, total = [], np.zeros(n_docs)
-    for k, codes in enumerate(docs):
-        hits = np.zeros(len(codes), bool)
+    for k, own in enumerate(docs):
+        hits = np.zeros(len(own), bool)
         if found[k]:
-            total[k], hits = told(_expected(len(codes), found[k]), codes)
+            total[k], hits = told(_expected(len(own), found[k]), own)
         paid.append(~hits)
     total += mixer.score([np.minimum(x, code.escape) for x in docs], paid=paid)
-    codes = code.codes(tokens.hashes)
     known = codes < code.end
     lengths = np.bincount(tokens.doc, minlength=n_docs)
     base = np.bincount(tokens.doc[known], np.log10(code.counts[codes[known]] + 0.5), minlength=n_docs) + math.log10(code.counts[code.end] + 0.5)
