@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TRUE, FALSE = True, False
-_NO_RE2 = re.compile(r"\(\?(=|!|<=|<!|>)|\\[1-9]|[*+?}]\+")
+_NO_RE2 = re.compile(r"\(\?(=|!|<=|<!|>)|\\[1-9]|([*+?]|\{\d+(,\d*)?\})\+")
 
 
 def both(parts: list[Column]) -> Column:
