@@ -13,12 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docengine.errors import IoFailed
 
-#: Settings that hold while a table is written: the write's own shuffle files go when it ends, and
-#: rows go to Python in batches that stay small where a row is a long text.
-_WHILE_WRITING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, _BATCH_DEFAULT, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 _PACKAGE = Path(__file__).resolve().parent
 
 
@@ -50,14 +46,12 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docengine-{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
-    before = {name: spark.conf.get(name) for name in _WHILE_WRITING}
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        for name, value in _WHILE_WRITING.items():
-            spark.conf.set(name, value)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,8 +65,14 @@ def discard(table: DataFrame) -> None:
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per session."""
+    """Give the executors' Python workers this package, once per session.
+
+    Rows go to them in batches that stay small where a row is a long text, unless the session has
+    a size of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, _BATCH_ROWS)
     if getattr(context, "_docengine_shipped", False):
         return
     target = os.path.join(tempfile.mkdtemp(prefix="docengine-code-"), "docengine.zip")
