@@ -46,7 +46,7 @@ B = 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK = 16
+BLOCK = 4
 BLOCK_ITEMS = 20_000
 ITEM_WORDS = 64
 _PUNCTUATION = bytes(ord(" ") if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or i < 32 or i == 127 else i for i in range(256))
