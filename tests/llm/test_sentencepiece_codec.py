@@ -31,6 +31,16 @@ def test_product_is_associative():
     assert S.combine(S.combine(m[0], m[1]), m[2]) == S.combine(m[0], S.combine(m[1], m[2]))
 
 
+@pytest.mark.parametrize("chunk", [3, 20, 1000])
+def test_matrix_holds_the_scores_of_all_pieces(chunk):
+    for text in [*TEXTS, "several words in the middle of a chunk, ü too " * 4]:
+        full = S.marked(text)
+        parts = [(full[max(0, a - C.longest) : a], full[a : a + chunk], full[a + chunk :][: C.longest]) for a in range(0, len(full), chunk)]
+        whole = S.reduce(S.combine, [S.transfer(C, *p) for p in parts])
+        want = sum(C.score.get(C.model.id_to_piece(i), 0.0) for i in C.model.encode(text))
+        assert set(S._onwards({("", 0): 0.0}, whole).values()) == {want}, (text, chunk)
+
+
 def test_documents(spark):
     texts = [None, "", *TEXTS, "word and another one " * 300, "nowhitespace" * 100]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
