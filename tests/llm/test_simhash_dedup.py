@@ -114,6 +114,43 @@ def test_keep_one_finds_all_pairs_of_jaccard_080(spark):
     assert S.keep_one(docs.limit(0)).count() == 0
 
 
+def test_pairs_of_like_sets_are_all_found_and_common_hashes_make_few(spark):
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 1 << 40, 8).tolist()
+    sets = [set(rng.integers(0, 1 << 40, 80).tolist()) | set(common) for _ in range(150)]
+    for k in range(120):  # like ones, and some just below and above 0.8
+        own = sorted(sets[int(rng.integers(0, 150))])
+        lost = set(rng.choice(own, int(rng.integers(0, 20)), replace=False).tolist())
+        sets.append((set(own) - lost) | set(rng.integers(0, 1 << 40, int(rng.integers(0, 6))).tolist()))
+    rows = []
+    for x, own in enumerate(sets):
+        first = S._first_ones(np.array(sorted(own)), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        rows += [(int(h), x, len(own), i, x) for i, h in enumerate(first)]
+    marked = S.written(spark.createDataFrame(rows, "h long, id long, n long, i long, label long"), "near-marked")
+    got = {(r.src, r.dst) for r in S._pairs_of(marked).collect()}
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert len(want) > 50 and want <= got
+    assert len(got) < 6000  # of 36,315, most of which share a common hash
+
+
+def test_wide_walk_starts_below_the_numbers_of_tables(spark):
+    rng = np.random.default_rng(4)
+    nodes = spark.createDataFrame([(k, int(a), int(b), 50) for k, (a, b) in enumerate(rng.integers(-(1 << 62), 1 << 62, (300, 2)))], "id long, p1 long, p2 long, n long")
+    labels = []
+
+    def seen(df, label):
+        out = S_written(df, label)
+        labels.append((label, out.count()))
+        return out
+
+    S_written, S.written = S.written, seen
+    try:
+        S.near_candidates(nodes).count()
+    finally:
+        S.written = S_written
+    assert ("trie-units", S.TABLES) in labels  # each key goes to one unit, not to all within two bits of its table's number
+
+
 def test_keep_one_keeps_one_row_of_repeated_ids(spark):
     rows = [(1, "a b c d"), (1, "A b c d"), (2, "a b C d"), (None, "a b c d"), (3, "x"), (3, "x"), (None, "y"), (None, None), (7, "")]
     docs = spark.createDataFrame([(d, t, 0, "k") for d, t in rows], "doc_id long, text string, key int, row_key string")
