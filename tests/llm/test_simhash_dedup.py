@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -157,3 +160,41 @@ def test_keep_one_keeps_one_row_of_repeated_ids(spark):
     got = S.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got.collect()) == [(0, "y"), (1, "a b c d"), (3, "x"), (7, "")]
+
+
+def test_wide_walk_holds_little_and_joins_all_near_pairs():
+    rng = np.random.default_rng(7)
+    wide = rng.integers(-(1 << 62), 1 << 62, (100_000, 2))
+    copies = rng.integers(0, 10_000, 40_000)
+    wide[60_000:] = wide[copies] ^ (np.int64(1) << rng.integers(0, 62, (40_000, 2)))
+    fp = (wide[:, 0].view(np.uint64) >> np.uint64(32) << np.uint64(14)).view(np.int64)
+    fp, k = np.unique(fp, return_index=True)
+    zero = np.zeros(len(k), np.int32)
+    unit = pa.table({"side": zero, "depth": zero + 16, "fp": fp, "p1": wide[k, 0], "p2": wide[k, 1], "n": np.full(len(k), 50), "id": k})
+    tracemalloc.start()
+    try:
+        links = S._walk_wide(unit, 2, 30)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120e6
+    forest = S._Forest(len(wide))
+    forest.link(links.column("src").to_numpy(), links.column("dst").to_numpy())
+    here = np.isin(copies, k) & np.isin(np.arange(60_000, 100_000), k)
+    assert here.sum() > 15_000
+    assert (forest.label[copies[here]] == forest.label[60_000:][here]).all()
+
+
+def test_no_rows_of_lists_are_read_by_python_workers_of_their_own(spark, monkeypatch):
+    from docengine.llm.labelled import sample
+
+    docs = spark.createDataFrame([(k, f"text {k} of some words") for k in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    prints = S.written(spark.range(40).select(S.F.xxhash64("id").alias("fp")), "test-prints")
+
+    def no(*_, **__):
+        raise AssertionError("a second kind of Python worker starts and stays in the executors")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", no)
+    assert len(sample(docs, labels, "quality", S.F.lit(True), 10, 1000)) == 8
+    assert S.trie_links(prints, 2, unit_rows=8).count() == 0
